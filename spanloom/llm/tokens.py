@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,48 +14,21 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same in the classes of the standard library's `re`; it differs only on characters of `_odd`.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Most words whose sizes a worker remembers.
-REMEMBER = 400_000
-
-
-class _Sizes(dict):
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-        n = self[word] = len(self.encode(word))
-        return n
 
 
 @functools.lru_cache(maxsize=4)
-def _loaded(path: str):
+def _encoder(path: str):
+    """The encoding function of a rank file, loaded once per worker."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return encode, _Sizes(encode)
-
-
-@functools.lru_cache(maxsize=1)
-def _odd() -> re.Pattern:
-    """Characters on which `_SPLIT` and PATTERN may differ: numbers that aren't decimal digits, and some separators."""
-    odd = [c for c in map(chr, range(128, sys.maxunicode + 1)) if (c.isalnum() and unicodedata.category(c)[0] != "L" and unicodedata.category(c) != "Nd")]
-    return re.compile("[" + re.escape("".join(odd)) + "\x1c-\x1f]")
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def token_count(text: str | None, path: str = VOCABULARY) -> int:
-    """The number of tokens of a text; 0 for None. Equal to the length of the full encoding."""
-    if not text:
-        return 0
-    encode, sizes = _loaded(path)
-    if (not text.isascii() and _odd().search(text)) or (text.isascii() and not text.isprintable() and re.search("[\x1c-\x1f]", text)):
-        return len(encode(text))
-    return sum(map(sizes.__getitem__, _SPLIT.findall(text)))
+    """The number of tokens of a text; 0 for None and the empty text."""
+    return len(_encoder(path)(text)) if text else 0
 
 
 def with_token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
