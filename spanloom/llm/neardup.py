@@ -72,7 +72,6 @@ def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text",
     Other columns are ignored; an empty table gives an empty result. Links are found with the probability
     `recall_at(similarity)` at the threshold, more above it; every link reported is exact.
     """
-    spark = df.sparkSession
     d = with_shingles(df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text")), ["_key"], "_text", n)
     fit = (F.col("_n_words") >= least_words) & (F.size("_runs") > 0)
     members = written(d.select("_key", fit.alias("_fit"), F.when(fit, F.col("_set")).otherwise(F.xxhash64(F.lit("own"), "_key")).alias("_set"), F.when(fit, F.col("_runs")).alias("_runs")), "runs")
@@ -103,7 +102,6 @@ def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text",
     alone = top.join(part, top.node == part.node, "left_anti").select("node", "root")
     group = up.union(alone)
     out = members.select("_key", "_set").distinct().join(group, F.col("_set") == F.col("node"), "left")
-    assert spark is out.sparkSession
     return out.select(F.col("_key").alias(key), F.coalesce("root", "_set").alias("group_id")).distinct()
 
 

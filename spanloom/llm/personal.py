@@ -347,7 +347,7 @@ def trained_model(notes: DataFrame, gold: DataFrame, names: dict[str, str], most
         return pd.DataFrame({"model": [train_field(pdf["text"].tolist(), spans, names).dump()]})
 
     rows = training_sample(notes, gold, most).withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "model binary").collect()
-    return bytes(rows[0]["model"]) if rows else Chain(LABELS, 8).dump()
+    return bytes(rows[0]["model"]) if rows else Chain(LABELS, BITS).dump()
 
 
 def find_personal(notes: DataFrame, model: bytes, names: dict[str, str], key: str = "guid", text: str = "text", placeholder: str | None = None) -> DataFrame:
