@@ -172,6 +172,8 @@ def spans_of(labels: np.ndarray, at: np.ndarray, text: str) -> list[tuple[str, i
 #: Signs inside a mention of each type that hold it together where no white space is.
 _INNER = {"NAME": "'’-", "EMAIL": "@._+-", "PHONE": "-–.()+", "ID": "-/", "STREET": "-"}
 _AT = re.compile(r"@|\bat\b", re.I)
+_BEFORE_AT = re.compile(r"[A-Za-z0-9._+\-]+[ \t\r\n\u00a0]*\[?[ \t]*$")
+_REST_OF_STREET = re.compile(r"\.?\s+(?:[^\W\d_]+\s+){1,2}?(?:street|road|lane|court|way|terrace|avenue|drive|place|blvd|st|ave|rd|ln|ct|dr)\b", re.I)
 _HOUSE = re.compile(r"\d{1,5}(?:-\d+)?[a-z]?\s+(?:[NSEWnsew]\.?\s+)?(?:[^\W\d_]+\s+){0,3}$")
 
 
@@ -208,6 +210,9 @@ def fitted(kind: str, a: int, b: int, text: str) -> tuple[str, int, int] | None:
     elif kind == "EMAIL":
         if not _AT.search(s):
             return None
+        if s[:2].lower() == "at" and not s[2:3].isalnum():
+            m = _BEFORE_AT.search(text, max(0, a - 60), a)
+            a = m.start() if m else a
     elif kind == "PHONE":
         if digits < 7 or "/" in s:
             return None
@@ -226,6 +231,11 @@ def fitted(kind: str, a: int, b: int, text: str) -> tuple[str, int, int] | None:
             a = m.start()
         if not any(c.isalpha() for c in s):
             return None
+        if re.search(r"\b[NSEWnsew]$", s):
+            m = _REST_OF_STREET.match(text, b, min(n, b + 60))
+            if m:
+                b = m.end()
+                s = text[a:b]
         if text[b : b + 1] == ".":
             last = re.search(r"[^\W\d_]+$", s)
             if last and last.group().lower() in STREET_WORDS:
