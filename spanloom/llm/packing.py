@@ -23,8 +23,8 @@ RANK_PARTS = 64
 def plan_packs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
     """[(length, rank_lo, rank_hi, first_pack)], number of packs.
 
-    Of the documents of a length, those ranked [rank_lo, rank_hi) go to the packs from first_pack on, one to each.
-    Lengths are from 1 to `capacity`.
+    Of the documents of a length, those ranked [rank_lo, rank_hi) go to the packs from first_pack on, one to each; a pack
+    may take the same length in several rounds. Lengths are from 1 to `capacity`.
     """
     heap: list[tuple[int, int, int]] = []  # (-free, first pack, packs)
     plan: list[tuple[int, int, int, int]] = []
@@ -46,8 +46,11 @@ def plan_packs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int
                     moved = []
                     if heap and -heap[0][0] >= length:
                         continue
-                free, first, m = capacity, packs, left
-                packs += m
+                # only as many packs as the rest of this length fills; its next rounds go to them again
+                free, first, count = capacity, packs, -(-left // (capacity // length))
+                packs += count
+                heapq.heappush(heap, (-free, first, count))
+                continue
             plan.append((length, rank, rank + m, first))
             if free > length:
                 moved.append((-(free - length), first, m))
@@ -57,6 +60,21 @@ def plan_packs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int
     return plan, packs
 
 
+def joined_rounds(plan: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """[(length, rank_lo, rank_hi, first_pack, width)]: rounds of one length over the same packs as one row, in which
+    rank r goes to pack first_pack + (r - rank_lo) % width. A hot short length has thousands of such rounds.
+    """
+    out: list[tuple[int, int, int, int, int]] = []
+    for length, lo, hi, first in plan:
+        if out:
+            n, start, stop, at, width = out[-1]
+            if n == length and stop == lo and at == first and (stop - start) % width == 0 and hi - lo <= width:
+                out[-1] = (n, start, hi, at, width)
+                continue
+        out.append((length, lo, hi, first, hi - lo))
+    return out
+
+
 def pack_documents(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """One row per container spec and piece: container_name, capacity_tokens, container_no (from 0), `key`, piece_no,
     token_start, n_tokens.
@@ -86,15 +104,15 @@ def pack_documents(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size
     rows = []
     for (name, cap), h in hist.items():
         if h.get(0):
-            rows.append((name, cap, 0, 0, h[0], 0, 0))
-        rows += [(name, cap, n, lo, hi, first, 1) for n, lo, hi, first in plan_packs({n: c for n, c in h.items() if n}, cap)[0]]
-    plan = spark.createDataFrame(rows, f"{schema}, n int, lo bigint, hi bigint, first bigint, stride int")
-    plan = plan.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "first", "stride"))).alias("plan"))
+            rows.append((name, cap, 0, 0, h[0], 0, 1))
+        rows += [(name, cap, *x) for x in joined_rounds(plan_packs({n: c for n, c in h.items() if n}, cap)[0])]
+    plan = spark.createDataFrame(rows, f"{schema}, n int, lo bigint, hi bigint, first bigint, width bigint")
+    plan = plan.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("hi", "lo", "first", "width"))).alias("plan"))
     before = counts.select(*of, "_part", (F.sum("c").over(W.partitionBy(*of).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("before"))
     ranked = p.withColumn("r", F.row_number().over(W.partitionBy(*of, "_part").orderBy("_key", "piece_no")) - 1)
     found = ranked.join(before, [*of, "_part"]).withColumn("r", F.col("r") + F.col("before")).join(plan, of)
     g = found.withColumn("g", F.expr("element_at(filter(plan, x -> r >= x.lo AND r < x.hi), 1)"))
-    no = (F.col("g.first") + (F.col("r") - F.col("g.lo")) * F.col("g.stride")).alias("container_no")
+    no = (F.col("g.first") + (F.col("r") - F.col("g.lo")) % F.col("g.width")).alias("container_no")
     return g.select("container_name", "capacity_tokens", no, F.col("_key").alias(key), "piece_no", "token_start", F.col("n").alias("n_tokens"))
 
 

@@ -151,6 +151,28 @@ def test_packing(spark):
     assert packing.pack_documents(sizes, specs.limit(0)).count() == 0
 
 
+def test_packing_one_hot_length(spark):
+    plan, packs = packing.plan_packs({500: 10000}, 8192)
+    assert packs == 625  # 16 to each, fill 0.977; one to each would fill 0.061
+    h = {3000: 999, 500: 10000, 40: 9000, 2: 100000}
+    plan, packs = packing.plan_packs(h, 8192)
+    load, joined = [0] * packs, [0] * packs
+    for n, lo, hi, first in plan:
+        for i in range(hi - lo):
+            load[first + i] += n
+    for n, lo, hi, first, width in packing.joined_rounds(plan):
+        for i in range(hi - lo):
+            joined[first + i % width] += n
+    assert load == joined and max(load) <= 8192 and sum(load) == sum(n * c for n, c in h.items())
+    assert sum(load) / (packs * 8192) > 0.99
+    sizes = spark.range(1005).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, 50).otherwise(700).alias("n_tokens"))
+    p = packing.pack_documents(sizes, spark.createDataFrame([("s", 1024)], "container_name string, capacity_tokens int"))
+    f = packing.fill_report(p).first()
+    assert (f.n_pieces, f.n_tokens) == (1005, 53500) and f.fill > 0.95
+    assert p.groupBy("container_no").agg(F.sum("n_tokens").alias("n")).where("n > 1024").count() == 0
+    assert p.select("doc_id").distinct().count() == 1005
+
+
 def test_mixing(spark):
     sizes = spark.createDataFrame([(i, "a" if i % 3 else "b", 10) for i in range(6000)] + [(9999, None, 5), (None, "a", 5), (9998, "a", 0)], "doc_id bigint, source string, n_tokens bigint")
     t = spark.createDataFrame([("m", "A ", 0.3, 2), ("m", "b", 0.5, 3), ("m", "none", 0.2, 4), ("n", "b", 1.0, 1), (None, "b", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
