@@ -2,8 +2,9 @@
 
 Notes with equal run sets are one representative. Its signature is cut into bands; representatives that agree in a band
 meet in a bucket. No bucket is expanded into all its pairs: first every member is verified against the bucket's least
-member, then only members of one bucket that are still in different components are verified against each other. That
-finds the same components as all pairs would.
+member, then only members of one bucket that are still in different components are verified against each other. In a
+bucket of over `HOT` members only those pairs are tried that a prefix filter on rare runs leaves. That finds the same
+components as all pairs would.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import connected_components
@@ -20,6 +21,8 @@ from spanloom.llm.triples import with_shingles
 from spanloom.session import dropped, written
 
 BANDS, ROWS, SEED = 48, 4, 20240229
+#: A bucket with more members is not joined with itself; a run is rare if at most RARE notes of such buckets have it.
+HOT, RARE = 64, 32
 
 
 def recall_at(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -62,7 +65,38 @@ def _verified(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
     return j.where((F.col("both") / (F.size("ra") + F.size("rb") - F.col("both"))) >= similarity).select("a", "b")
 
 
-def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text", similarity: float = 0.8, n: int = 5, least_words: int = 0, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _fit(n: Column, m: Column, similarity: float) -> Column:
+    return F.least(n, m) >= similarity * F.greatest(n, m)
+
+
+def _hot_pairs(hot: DataFrame, reps: DataFrame, similarity: float, rare: int = RARE) -> DataFrame:
+    """(a, b) across components such that, with the links among them, members of a bucket are connected as by all pairs.
+
+    Runs are ordered by the number of notes of hot buckets that have them. Two sets of this similarity share a run among
+    the first n - ceil(similarity * n) + 1 of each. If that run is rare, the pair is found by it. Else all they share
+    are frequent runs, which must then make up the similarity. Of the members of a bucket with the same frequent runs
+    the smallest set is at least as similar to all others as any of them is, so all are tried against it only.
+    """
+    ids = hot.select("id", "n", "root").distinct()
+    runs = ids.join(reps.select(F.col("_set").alias("id"), "_runs"), "id").select("id", "n", "root", F.explode("_runs").alias("run"))
+    held = runs.groupBy("run").agg(F.count("*").alias("c"))
+    order = runs.join(held, "run").groupBy("id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "run"))).alias("o"))
+    often = F.transform(F.filter("o", lambda x: x.c > rare), lambda x: x.run)
+    first = F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
+    order = order.select("id", "n", "root", F.size(often).alias("t"), F.xxhash64(often).alias("kind"), first.alias("first"))
+    order = written(order.select("id", "n", "root", "t", "kind", F.transform(F.filter("first", lambda x: (x.c > 1) & (x.c <= rare)), lambda x: x.run).alias("rare"), F.exists("first", lambda x: x.c > rare).alias("heavy")), "orders")
+    one = order.select("id", "n", "root", F.explode("rare").alias("run"))
+    l, r = one.alias("l"), one.alias("r")
+    found = l.join(r, (F.col("l.run") == F.col("r.run")) & (F.col("l.root") < F.col("r.root")) & _fit(F.col("l.n"), F.col("r.n"), similarity))
+    found = found.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+    heavy = hot.select("h", "id").join(order.where("heavy").select("id", "n", "root", "t", "kind"), "id")
+    least = heavy.groupBy("h", "kind").agg(F.min(F.struct("n", "id", "root", "t")).alias("y")).select("h", "y")
+    enough = F.least("t", "y.t") >= similarity / (1 + similarity) * (F.col("n") + F.col("y.n")) - 1e-9
+    by_kind = heavy.join(least, "h").where((F.col("root") != F.col("y.root")) & _fit(F.col("n"), F.col("y.n"), similarity) & enough)
+    return found.union(by_kind.select(F.least("id", "y.id").alias("a"), F.greatest("id", "y.id").alias("b")))
+
+
+def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text", similarity: float = 0.8, n: int = 5, least_words: int = 0, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:
     """One row per distinct key: `key`, group_id (bigint).
 
     Notes with at least `least_words` words and one run of `n` words are linked if the Jaccard similarity of their run
@@ -87,11 +121,13 @@ def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text",
     part = written(connected_components(links), "parts")
     # members of a bucket that the stars left in different components
     placed = met.join(part, met.id == part.node, "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    placed = written(placed.join(mixed, "h", "left_semi"), "mixed")
-    l, r = placed.alias("l"), placed.alias("r")
-    rest = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") < F.col("r.root")) & (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n")))
-    rest = rest.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("h", "c")
+    placed = written(placed.join(mixed, "h"), "mixed")
+    l, r = placed.where(F.col("c") <= hot).alias("l"), placed.where(F.col("c") <= hot).alias("r")
+    rest = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") < F.col("r.root")) & _fit(F.col("l.n"), F.col("r.n"), similarity))
+    rest = rest.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+    far = placed.where(F.col("c") > hot)
+    rest = (rest if far.isEmpty() else rest.union(_hot_pairs(far, reps, similarity))).distinct()
     rest = rest.join(star.select(F.col("rep").alias("a"), F.col("id").alias("b")), ["a", "b"], "left_anti")
     more = written(_verified(rest, reps, similarity), "links")
     # roots of the first pass are joined by the new links

@@ -151,6 +151,56 @@ def test_packing(spark):
     assert packing.pack_documents(sizes, specs.limit(0)).count() == 0
 
 
+def test_near_duplicates_shared_template(spark, monkeypatch):
+    """Notes with one template below the threshold: their buckets aren't emitted as all pairs."""
+    r = random.Random(11)
+    own = lambda k: " ".join(f"u{r.randint(0, 10**9)}" for _ in range(k))
+    head = " ".join(f"t{i}" for i in range(60))
+    verified, tried = neardup._verified, []
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, *a: tried.append(pairs.count()) or verified(pairs, *a))
+    n = 600
+    g = neardup.near_duplicate_groups(spark.createDataFrame([(str(i), f"{head} {own(50)}") for i in range(n)], "guid string, text string"), similarity=0.6, n=3)
+    assert g.select("group_id").distinct().count() == n
+    assert sum(tried) < n * neardup.HOT / 2 < n * (n - 1) / 2 / 4
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_hot_buckets_lose_no_link(spark, seed):
+    r = random.Random(seed)
+    own = lambda k: " ".join(f"u{r.randint(0, 10**9)}" for _ in range(k)).split()
+    heads = [own(40) for _ in range(2)]
+    notes = []
+    for _ in range(70):
+        w = heads[r.randrange(2)] + own(r.choice([4, 8, 14, 18, 24, 30, 40]))
+        notes.append(w)
+        for _ in range(r.choice([0, 0, 1, 2])):
+            w = list(w)
+            for _ in range(r.randint(1, 4)):
+                w[r.randrange(len(w))] = own(1)[0]
+            notes.append(w)
+    sets = [runs(" ".join(w))[0] for w in notes]
+    root = list(range(len(notes)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(notes)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6:
+                root[top(i)] = top(j)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(notes)], "guid int, text string")
+    got = {}
+    for x in neardup.near_duplicate_groups(df, similarity=0.6, n=3, bands=40, rows=1, hot=2).collect():
+        got.setdefault(x.group_id, set()).add(x.guid)
+    want = {}
+    for i in range(len(notes)):
+        want.setdefault(top(i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert 10 < len(want) < len(notes)
+
+
 def test_packing_one_hot_length(spark):
     plan, packs = packing.plan_packs({500: 10000}, 8192)
     assert packs == 625  # 16 to each, fill 0.977; one to each would fill 0.061
