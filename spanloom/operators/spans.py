@@ -51,6 +51,13 @@ def exclude(a: DataFrame, b: DataFrame, key: str = "document_id") -> DataFrame:
     return g.select(key, "a", "b", F.expr(gaps).alias("gaps"))
 
 
+def state_runs(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Maximal runs of characters of one state: tp (in gold and predictions), fn (gold only), fp (predictions only)."""
+    g, p = merge_union(gold, ["document_id"]), merge_union(pred, ["document_id"])
+    only = lambda a, b, state: exclude(a, b).select("document_id", F.inline("gaps")).withColumn("state", F.lit(state))
+    return overlap(g, p).withColumn("state", F.lit("tp")).unionByName(only(g, p, "fn")).unionByName(only(p, g, "fp"))
+
+
 def coverage(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Each gold span against the union of predictions: exact (wholly covered), missed or partial, with the uncovered parts."""
     e = exclude(gold.select("document_id", "start", "stop").distinct(), merge_union(pred, ["document_id"]))

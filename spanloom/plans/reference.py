@@ -389,6 +389,20 @@ def operating_points(spark: SparkSession, d: str) -> DataFrame:
     return _curve(spark, d).select("*", t).where(F.col("tp") / F.col("n_pos") >= F.col("target")).groupBy("target").agg(F.max("score").alias("score"), F.min("tp").alias("tp"), F.min("fp").alias("fp"))
 
 
+@query(
+    BASE
+    + """, gc AS (SELECT DISTINCT document_id, unnest(range(start, stop)) AS i FROM gold), pc AS (SELECT DISTINCT document_id, unnest(range(start, stop)) AS i FROM pred),
+c AS (SELECT coalesce(gc.document_id, pc.document_id) AS document_id, coalesce(gc.i, pc.i) AS i, CASE WHEN pc.i IS NULL THEN 'fn' WHEN gc.i IS NULL THEN 'fp' ELSE 'tp' END AS state FROM gc FULL JOIN pc ON gc.document_id = pc.document_id AND gc.i = pc.i),
+v AS (SELECT c.*, text, c.i - row_number() OVER (PARTITION BY document_id, state ORDER BY c.i) AS run FROM c JOIN notes USING (document_id) WHERE c.i >= 0 AND c.i < length(text))
+SELECT document_id, min(i)::INT AS start, (max(i) + 1)::INT AS stop, state, translate(substring(min(text), min(i)::INT + 1, (max(i) + 1 - min(i))::INT), ' ' || chr(13) || chr(10), '___') AS shown FROM v GROUP BY document_id, state, run"""
+)
+def state_runs(spark: SparkSession, d: str) -> DataFrame:
+    n = notes(spark, d).withColumn("_n", F.length("text"))
+    j = S.state_runs(gold(spark, d), pred(spark, d)).join(n, "document_id").withColumn("start", F.greatest("start", F.lit(0))).withColumn("stop", F.least("stop", "_n")).where("start < stop")
+    shown = F.translate(F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")), " \r\n", "___")
+    return j.select("document_id", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "state", shown.alias("shown"))
+
+
 @query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50 OFFSET 20")
 def notes_offset_limit(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "n_chars").orderBy("doc_id").offset(20).limit(50)

@@ -124,3 +124,21 @@ def test_queries_match_sql(spark):
         cols = sorted(got.columns)
         want = con.execute(f"SELECT {', '.join(cols)} FROM ({e.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want), name
+
+
+def test_state_runs(spark):
+    r = random.Random(5)
+    sides = [[(d, a := r.randint(0, 90), a + r.randint(1, 12)) for d in ("a", "b", "c") for _ in range(r.randint(3, 9))] for _ in range(2)]
+    sides[0].append(("g", 1, 4))
+    sides[1].append(("p", 2, 5))
+    chars = [{(d, i) for d, a, b in x for i in range(a, b)} for x in sides]
+    want = set()
+    for state, x in (("tp", chars[0] & chars[1]), ("fn", chars[0] - chars[1]), ("fp", chars[1] - chars[0])):
+        for d, i in x:
+            if (d, i - 1) not in x:
+                stop = i
+                while (d, stop) in x:
+                    stop += 1
+                want.add((d, i, stop, state))
+    got = S.state_runs(*[spark.createDataFrame(x, "document_id string, start int, stop int") for x in sides]).select("document_id", "start", "stop", "state").collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
