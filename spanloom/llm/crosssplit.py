@@ -1,9 +1,11 @@
 """Notes of evaluation splits that occur, wholly or nearly, in training notes (problem 3).
 
-Edit-distance segment join. An evaluation note is cut into segments of one word run each. A match may miss k of its
-distinct runs, so of any k+c segments c are whole in every training note that matches; the k+c that are least frequent
-among all training runs are looked up. The pairs that meet c times are checked exactly, and a banded dynamic programme
-gives their edit distance in words.
+Edit-distance segment join. A match may miss k of an evaluation note's distinct word runs. The note is cut into k+c
+segments, one around each of its k+c runs that are least frequent among the training notes: of any match c segments are
+hit by no miss, so their runs are in the training note, at any position. Pairs that meet c times are verified by a
+dynamic programme in a band around their common diagonal: d word edits spoil at most n*d runs of n words, so a pair
+with n*d <= k is a match by the band's verdict alone. Pairs the band can't decide (moved blocks, repeated runs) are
+counted exactly on their full run sets.
 """
 
 from __future__ import annotations
@@ -11,18 +13,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.triples import WORD, with_shingles, words
+from spanloom.llm.hashing import flat, run_hashes
+from spanloom.llm.triples import distinct_sets, shared_runs, with_words
 from spanloom.session import written
 
 #: The band of the dynamic programme on either side of the diagonal is this share of the evaluation note's words, at least MIN_BAND.
 BAND_SHARE, MIN_BAND = 0.25, 8
 #: c of the segment join. With 1, any rare run that two notes share by chance makes a pair to check.
 PROBES = 6
+#: Cells of the dynamic programme worked on at once.
+CELLS = 40_000
+FAR = 1 << 20
 
 
 def clean_split(c: Column) -> Column:
@@ -31,79 +36,164 @@ def clean_split(c: Column) -> Column:
     return F.when(s == "val", "dev").otherwise(s)
 
 
-def banded_distance(a: np.ndarray, b: np.ndarray, at: int, band: int) -> int:
-    """Edits that turn the word sequence `a` into some stretch of `b`; the path stays within `band` of diagonal `at`.
-
-    The start and end in `b` are free. Returns -1 where no path lies in the band.
+def banded_distances(pairs: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Of each pair (a, b): the edits that turn the word sequence `a` into some stretch of `b`, start and end free, on a
+    path within `band` of diagonal `at`; -1 where no path lies in the band. Pairs of like length go through together.
     """
-    n, m, far = len(a), len(b), 1 << 28
-    width = 2 * band + 1
-    offs = np.arange(width, dtype=np.int64)
-    j = at - band + offs  # column of `b` before which the path stands, after 0 words of `a`
-    row = np.where((j >= 0) & (j <= m), 0, far)
-    padded = np.full(n + m + 2 * width + abs(at) + 2, -1, np.int64)
-    base = width + max(0, -at) + 1
-    padded[base : base + m] = b
-    for i in range(1, n + 1):
-        j = j + 1
-        take = row + (padded[base + j[0] - 1 : base + j[0] - 1 + width] != a[i - 1])
-        skip = np.append(row[1:], far) + 1
-        best = np.where((j >= 0) & (j <= m), np.minimum(take, skip), far)
-        row = np.minimum.accumulate(best - offs) + offs
-        row = np.where((j >= 0) & (j <= m), row, far)
-    low = int(row.min())
-    return low if low < far // 2 else -1
-
-
-def _edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in batches:
-        out = np.empty(len(p), np.int32)
-        for x, (a, b) in enumerate(zip(p["wa"], p["wb"])):
-            a, b = np.asarray(a), np.asarray(b)
-            if len(a) == len(b) and (a == b).all():
-                out[x] = 0
-                continue
-            _, ia, ib = np.intersect1d(a, b, return_indices=True)
-            at = int(np.median(ib - ia)) if len(ia) else 0
-            out[x] = banded_distance(a, b, at, max(MIN_BAND, int(len(a) * BAND_SHARE)))
-        yield pd.DataFrame({"ea": p["ea"], "tb": p["tb"], "edits": out})
-
-
-def split_overlaps(df: DataFrame, key: str = "guid", text: str = "text", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("dev", "test"), contained: float = 0.8, n: int = 5, least_words: int = 0, with_edits: bool = True) -> DataFrame:
-    """One row per (evaluation key, training key): eval_key, train_key, shared (the part of the evaluation note's
-    distinct runs that the training note has, at least `contained`), edits.
-
-    edits: word edits that turn the evaluation note into a stretch of the training note along a band around the median
-    diagonal of their common words; -1 where no path lies in the band (reordered notes); left out if not `with_edits`.
-    Notes of one run set are joined once and expanded at the end. Evaluation notes under `least_words` words or without
-    a run, null keys, null texts and other splits have no rows; repeated rows count once; a key may be in both sides,
-    but no key is paired with itself. Extra columns are ignored; empty tables give no rows. No candidate is dropped.
+    out = np.full(len(pairs), -1, np.int32)
+    n = np.array([len(a) for a, _ in pairs], np.int64)
+    order = np.argsort(n, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * (2 * int(band[order[lo : hi + 1]].max()) + 1) <= CELLS:
+            hi += 1
+        part, lo = order[lo:hi], hi
+        half = int(band[part].max())
+        width, most = 2 * half + 1, int(n[part].max())
+        aa = np.full((len(part), most), -2, np.int64)
+        bb = np.full((len(part), most + width), -1, np.int64)  # bb[p, x] = b[at - half - 1 + x]
+        first, last = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+        for p, i in enumerate(part):
+            a, b = pairs[i]
+            aa[p, : len(a)] = a
+            x0 = half + 1 - int(at[i])
+            s, e = max(0, x0), min(bb.shape[1], x0 + len(b))
+            if s < e:
+                bb[p, s:e] = b[s - x0 : e - x0]
+            first[p], last[p] = x0 - 1, x0 - 1 + len(b)  # x of columns 0 and len(b)
+        offs = np.arange(width)
+        beyond = np.where(np.abs(offs - half)[None] > band[part][:, None], FAR, 0)
+        row = np.where((offs >= first[:, None]) & (offs <= last[:, None]), 0, FAR) + beyond
+        for i in range(1, most + 1):
+            take = row + (bb[:, i : i + width] != aa[:, i - 1 : i])
+            take[:, :-1] = np.minimum(take[:, :-1], row[:, 1:] + 1)
+            x = offs + i
+            bad = ((x < first[:, None]) | (x > last[:, None])) * FAR + beyond
+            take += bad
+            row = np.minimum.accumulate(take - offs, axis=1) + offs + bad
+            done = n[part] == i
+            if done.any():
+                low = row[done].min(axis=1)
+                out[part[done]] = np.where(low < FAR // 2, low, -1)
+            np.minimum(row, 4 * FAR, out=row)
+    return out
+
+
+def _diagonal(a: np.ndarray, b: np.ndarray) -> int:
+    """The median of b's place minus a's over the words that both have once."""
+    (x, ia, ca), (y, ib, cb) = (np.unique(v, return_index=True, return_counts=True) for v in (a, b))
+    x, ia, y, ib = x[ca == 1], ia[ca == 1], y[cb == 1], ib[cb == 1]
+    if not len(x) or not len(y):
+        return 0
+    k = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    same = y[k] == x
+    return int(np.median(ib[k[same]] - ia[same])) if same.any() else 0
+
+
+def _verdicts(batches: Iterator[pa.RecordBatch], n: int, contained: float) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        for lo in range(0, x.num_rows, 1000):
+            p = x.slice(lo, 1000)
+            (a, sa), (b, sb) = flat(p.column(2)), flat(p.column(3))
+            m = p.column(4).to_numpy().astype(np.int64)
+            ends_a, ends_b = np.cumsum(sa), np.cumsum(sb)
+            pairs = [(a[i - s : i], b[j - t : j]) for i, s, j, t in zip(ends_a, sa, ends_b, sb)]
+            edits = np.array([0 if len(u) == len(v) and (u == v).all() else -1 for u, v in pairs], np.int32)
+            todo = np.flatnonzero(edits)
+            if len(todo):
+                at = np.array([_diagonal(*pairs[i]) for i in todo])
+                edits[todo] = banded_distances([pairs[i] for i in todo], at, np.maximum(MIN_BAND, (sa[todo] * BAND_SHARE).astype(np.int64)))
+            missed = m - np.ceil(m * contained - 1e-9).astype(np.int64)
+            match = (edits >= 0) & (n * edits <= missed)
+            rest = np.flatnonzero(~match)
+            if len(rest):
+                q = p.take(pa.array(rest))
+                both, own, _ = shared_runs(q.column(2), q.column(3), n)
+                match[rest] = both >= own - missed[rest]
+            keep = pa.array(match)
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(edits)], ["ea", "tb", "edits"]).filter(keep)
+
+
+def _grams(sets: DataFrame, n: int, half: bool) -> DataFrame:
+    """(_id, run, m): the distinct runs of each set, or the even ones of them; m: all runs of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, sizes = flat(b.column(1))
+            r, of = run_hashes(w.view(np.uint64), sizes, n)
+            i = np.repeat(np.arange(len(of)), of)
+            if half:
+                even = r % np.uint64(2) == 0
+                r, i = r[even], i[even]
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[i]), pa.array(r.view(np.int64)), pa.array(of[i].astype(np.int32))], ["_id", "run", "m"])
+
+    return sets.select("_id", "_w").mapInArrow(run, "_id bigint, run bigint, m int")
+
+
+def _met(ev: DataFrame, tr: DataFrame, n: int, contained: float, half: bool) -> DataFrame:
+    """(ea, tb, m) that agree in at least c of the k+c probes of the evaluation note."""
+    grams = _grams(tr, n, half).select(F.col("_id").alias("tb"), "run")
+    # frequencies only rank the probes, so 31 bits of a run will do; a run that two share has df 1 or more
+    low = F.shiftrightunsigned("run", 33).cast("int")
+    often = grams.groupBy(low.alias("low")).agg(F.count("*").alias("df"))
+    segs = _grams(ev, n, half).join(often, low == F.col("low"), "left").na.fill(0, ["df"])
+    ranked = segs.groupBy(F.col("_id").alias("ea"), "m").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("o"))
+    k = F.col("m") - F.ceil(F.col("m") * contained - 1e-9)
+    first = F.slice("o", 1, (k + PROBES).cast("int"))
+    probe = ranked.select("ea", "m", F.least(F.lit(PROBES), F.size("o") - k).alias("least"), F.explode(F.filter(first, lambda x: x["df"] > 0)).alias("x")).select("ea", "m", "least", "x.run")
+    return probe.join(grams, "run").groupBy("ea", "tb", "m", "least").agg(F.count("*").alias("c")).where("c >= least").select("ea", "tb", "m")
+
+
+def split_links(df: DataFrame, key: str = "guid", text: str = "text", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("dev", "test"), contained: float = 0.8, n: int = 5, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Links between classes of notes, and the members of the classes.
+
+    Links: ea, tb, edits: a class of evaluation notes whose distinct runs of `n` words are, by at least the share
+    `contained`, runs of the class tb of training notes. edits: word edits that turn a note of ea into a stretch of one
+    of tb along a band; -1 where no path lies in the band. Members: _key, _id, _train, _eval: notes of one run set are
+    one class, which may have notes of both sides.
+
+    Evaluation notes under `least_words` words or without a run, null keys, null texts and other splits are left out;
+    repeated rows count once. Other columns are ignored; empty tables give no rows. No candidate is dropped.
     """
     d = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), clean_split(F.col(split)).alias("_split"))
-    d = d.where(F.col("_split").isin(train, *evaluation))
-    r = with_shingles(d, ["_key", "_split"], "_text", n).where(F.size("_runs") > 0)
-    r = r.where((F.col("_split") == train) | (F.col("_n_words") >= least_words))
-    r = written(r.select("_key", (F.col("_split") == train).alias("_train"), "_set", "_runs"), "runs")
-    side = lambda is_train: written(r.where("_train" if is_train else "not _train").groupBy("_set").agg(F.first("_runs").alias("runs")), "sets")
-    ev, tr = side(False), side(True)
-    # of the one-run segments of an evaluation note, the k+c least frequent; a match has c of them
-    segs = ev.select(F.col("_set").alias("ea"), F.explode("runs").alias("run"), F.size("runs").alias("m"))
-    k = F.col("m") - F.ceil(F.col("m") * contained - 1e-9)
-    grams = written(tr.select(F.col("_set").alias("tb"), F.explode("runs").alias("run")), "grams")
-    often = grams.groupBy("run").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(W.partitionBy("ea").orderBy("df", "run"))
-    probe = segs.join(often, "run", "left").na.fill(0, ["df"]).withColumn("rank", rank).where((F.col("rank") <= k + PROBES) & (F.col("df") > 0)).select("ea", "run", F.least(F.lit(PROBES), F.col("m") - k).alias("least"))
-    met = probe.join(grams, "run").groupBy("ea", "tb", "least").agg(F.count("*").alias("c")).where("c >= least").select("ea", "tb")
-    size = lambda x, name: x.select(F.col("_set").alias(name), F.col("runs").alias(f"r{name}"))
-    both = met.join(size(ev, "ea"), "ea").join(size(tr, "tb"), "tb").select("ea", "tb", (F.size(F.array_intersect("rea", "rtb")) / F.size("rea")).alias("shared"))
-    hit = written(both.where(F.col("shared") >= contained), "hits")
-    out = hit
-    if with_edits:
-        seq = d.select(F.col("_key"), F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("w"))
-        texts = r.select("_key", "_set", "_train").join(seq, "_key").groupBy("_train", "_set").agg(F.min_by("w", "_key").alias("w"))
-        pairs = hit.join(texts.where("not _train").select(F.col("_set").alias("ea"), F.col("w").alias("wa")), "ea").join(texts.where("_train").select(F.col("_set").alias("tb"), F.col("w").alias("wb")), "tb")
-        done = pairs.select("ea", "tb", "wa", "wb").mapInPandas(_edits, "ea bigint, tb bigint, edits int")
-        out = hit.join(done, ["ea", "tb"])
-    of = lambda is_train, s, name: r.where("_train" if is_train else "not _train").select(F.col("_set").alias(s), F.col("_key").alias(name)).distinct()
-    out = out.join(of(False, "ea", "eval_key"), "ea").join(of(True, "tb", "train_key"), "tb")
-    return out.where("eval_key <> train_key").drop("ea", "tb").select("eval_key", "train_key", "shared", *(["edits"] if with_edits else []))
+    d = d.where(F.col("_split").isin(train, *evaluation)).select("_key", "_text", (F.col("_split") == train).alias("_train"))
+    tok = written(with_words(d, ["_key", "_train"], "_text", n), "words")
+    fits = ~F.col("_train") & (F.col("_n_words") >= least_words)
+    sets = written(distinct_sets(tok, _train=F.col("_train"), _eval=fits), "sets")
+    ev, tr = sets.where("_eval"), sets.where("_train")
+    # half of all runs are probes enough, but for a note with too few of them
+    k = F.col("_n") - F.ceil(F.col("_n") * contained - 1e-9)
+    met = _met(ev.where(F.col("_even") > k), tr, n, contained, True)
+    thin = ev.where(F.col("_even") <= k)
+    if not thin.isEmpty():
+        met = met.unionByName(_met(thin, tr, n, contained, False))
+    words = lambda s, name: s.select(F.col("_id").alias(name), F.col("_w").alias(f"w{name}"))
+    both = met.join(words(ev, "ea"), "ea").join(words(tr, "tb"), "tb").select("ea", "tb", "wea", "wtb", "m")
+    links = written(both.mapInArrow(lambda it: _verdicts(it, n, contained), "ea bigint, tb bigint, edits int"), "links")
+    members = tok.select("_key", "_train", fits.alias("_eval"), "_d1", "_d2").distinct().join(sets.select("_d1", "_d2", "_id"), ["_d1", "_d2"])
+    return links, members.select("_key", "_id", "_train", "_eval")
+
+
+def split_overlaps(df: DataFrame, **how: object) -> DataFrame:
+    """One row per (evaluation key, training key): eval_key, train_key, edits. Arguments and edge cases as in
+    `split_links`; a key may be on both sides, but no key is paired with itself."""
+    links, members = split_links(df, **how)
+    e = members.where("_eval").select(F.col("_id").alias("ea"), F.col("_key").alias("eval_key")).distinct()
+    t = members.where("_train").select(F.col("_id").alias("tb"), F.col("_key").alias("train_key")).distinct()
+    return links.join(e, "ea").join(t, "tb").where("eval_key <> train_key").select("eval_key", "train_key", "edits")
+
+
+def overlap_counts(df: DataFrame, **how: object) -> DataFrame:
+    """One row per evaluation key with a link: eval_key, n_links (training keys other than itself), unchanged (some
+    training note has all its words in order). Counted by class, without the pairs. Arguments as in `split_links`.
+    """
+    links, members = split_links(df, **how)
+    e = members.where("_eval").select(F.col("_id").alias("ea"), F.col("_key").alias("eval_key")).distinct()
+    t = members.where("_train").select(F.col("_id").alias("tb"), F.col("_key").alias("train_key")).distinct()
+    n = links.join(t.groupBy("tb").agg(F.count("*").alias("c")), "tb").groupBy("ea").agg(F.sum("c").alias("c"), F.max((F.col("edits") == 0).cast("int")).alias("same"))
+    # a key that is on both sides isn't its own link
+    self = links.join(t, "tb").join(e.select("ea", F.col("eval_key").alias("train_key")), ["ea", "train_key"]).groupBy("ea", F.col("train_key").alias("eval_key")).agg(F.count("*").alias("own"))
+    j = e.join(n, "ea").join(self, ["ea", "eval_key"], "left").na.fill(0, ["own"])
+    j = j.groupBy("eval_key").agg(F.sum(F.col("c") - F.col("own")).alias("n_links"), F.max("same").alias("unchanged"))
+    return j.where("n_links > 0")

@@ -12,15 +12,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import connected_components
-from spanloom.llm.triples import with_shingles
+from spanloom.llm.hashing import flat, run_hashes
+from spanloom.llm.triples import distinct_sets, runs_of, shared_runs, with_words
 from spanloom.session import dropped, written
 
-BANDS, ROWS, SEED = 48, 4, 20240229
+BANDS, ROWS, SEED = 27, 3, 20240229
 #: A bucket with more members is not joined with itself; a run is rare if at most RARE notes of such buckets have it.
 HOT, RARE = 64, 32
 
@@ -30,19 +31,17 @@ def recall_at(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-def band_hashes(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Band hashes, (len(sets), bands) int64, of non-empty sets of 64-bit hashes."""
+def band_hashes(runs: np.ndarray, sizes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Band hashes, (len(sizes), bands) int64, of non-empty sets of 64-bit hashes laid end to end."""
     rng = np.random.default_rng(SEED)
     mul = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    x = np.concatenate(sets).astype(np.int64).view(np.uint64)
-    x = x ^ (x >> np.uint64(31))
-    at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    out = np.empty((len(sets), bands), np.uint64)
+    x = runs ^ (runs >> np.uint64(31))
+    at = np.cumsum(sizes) - sizes
+    out = np.empty((len(sizes), bands), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(bands):
-            h = np.full(len(sets), np.uint64(k + 1))
+            h = np.full(len(sizes), np.uint64(k + 1))
             for i in range(k * rows, (k + 1) * rows):
                 h = (h ^ np.minimum.reduceat(x * mul[i] + add[i], at)) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
@@ -50,26 +49,35 @@ def band_hashes(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
     return out.view(np.int64)
 
 
-def _bands(batches: Iterator[pd.DataFrame], bands: int, rows: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for lo in range(0, len(pdf), 400):
-            part = pdf.iloc[lo : lo + 400]
-            h = band_hashes([np.asarray(r) for r in part["_runs"]], bands, rows)
-            yield pd.DataFrame({"h": h.ravel(), "id": np.repeat(part["_set"].to_numpy(), bands), "n": np.repeat(part["_n"].to_numpy(), bands)})
+def _bands(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 400):
+            part = b.slice(lo, 400)
+            w, sizes = flat(part.column(2))
+            h = band_hashes(*run_hashes(w.view(np.uint64), sizes, n), bands, rows)
+            again = lambda i: pa.array(np.repeat(part.column(i).to_numpy(), bands))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), again(0), again(1)], ["h", "id", "n"])
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, n: int) -> DataFrame:
     """Of (a, b) those whose full run sets have at least this Jaccard similarity."""
-    one = lambda x: reps.select(F.col("_set").alias(x), F.col("_runs").alias(f"r{x}"))
-    j = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ra", "rb", F.size(F.array_intersect("ra", "rb")).alias("both"))
-    return j.where((F.col("both") / (F.size("ra") + F.size("rb") - F.col("both"))) >= similarity).select("a", "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for lo in range(0, x.num_rows, 2000):
+                p = x.slice(lo, 2000)
+                both, na, nb = shared_runs(p.column(2), p.column(3), n)
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(both / np.maximum(na + nb - both, 1) >= similarity))
+
+    one = lambda x: sets.select(F.col("_id").alias(x), F.col("_w").alias(f"w{x}"))
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "wa", "wb").mapInArrow(check, "a bigint, b bigint")
 
 
 def _fit(n: Column, m: Column, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m)
 
 
-def _hot_pairs(hot: DataFrame, reps: DataFrame, similarity: float, rare: int = RARE) -> DataFrame:
+def _hot_pairs(hot: DataFrame, sets: DataFrame, similarity: float, words: int, rare: int = RARE) -> DataFrame:
     """(a, b) across components such that, with the links among them, members of a bucket are connected as by all pairs.
 
     Runs are ordered by the number of notes of hot buckets that have them. Two sets of this similarity share a run among
@@ -78,7 +86,7 @@ def _hot_pairs(hot: DataFrame, reps: DataFrame, similarity: float, rare: int = R
     the smallest set is at least as similar to all others as any of them is, so all are tried against it only.
     """
     ids = hot.select("id", "n", "root").distinct()
-    runs = ids.join(reps.select(F.col("_set").alias("id"), "_runs"), "id").select("id", "n", "root", F.explode("_runs").alias("run"))
+    runs = ids.join(runs_of(sets.join(ids.select(F.col("id").alias("_id")), "_id", "left_semi"), words).withColumnRenamed("_id", "id"), "id")
     held = runs.groupBy("run").agg(F.count("*").alias("c"))
     order = runs.join(held, "run").groupBy("id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "run"))).alias("o"))
     often = F.transform(F.filter("o", lambda x: x.c > rare), lambda x: x.run)
@@ -97,27 +105,27 @@ def _hot_pairs(hot: DataFrame, reps: DataFrame, similarity: float, rare: int = R
 
 
 def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text", similarity: float = 0.8, n: int = 5, least_words: int = 0, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:
-    """One row per distinct key: `key`, group_id (bigint).
+    """One row per distinct key: `key`, group_id (string).
 
     Notes with at least `least_words` words and one run of `n` words are linked if the Jaccard similarity of their run
     sets is at least `similarity`; group_id is equal exactly for notes connected by links. Other notes (null, empty or
-    short texts) are groups of their own, whose id is a hash of the key. Rows with a null key are left out. Repeated
+    short texts) are groups of their own, whose id is made of the key. Rows with a null key are left out. Repeated
     rows of a key and text count once; a key with several texts is in the group of each text, as one row for each.
     Other columns are ignored; an empty table gives an empty result. Links are found with the probability
     `recall_at(similarity)` at the threshold, more above it; every link reported is exact.
     """
-    d = with_shingles(df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text")), ["_key"], "_text", n)
-    fit = (F.col("_n_words") >= least_words) & (F.size("_runs") > 0)
-    members = written(d.select("_key", fit.alias("_fit"), F.when(fit, F.col("_set")).otherwise(F.xxhash64(F.lit("own"), "_key")).alias("_set"), F.when(fit, F.col("_runs")).alias("_runs")), "runs")
-    reps = written(members.where("_fit").groupBy("_set").agg(F.first("_runs").alias("_runs")).withColumn("_n", F.size("_runs")), "sets")
-    h = reps.mapInPandas(lambda it: _bands(it, bands, rows), "h bigint, id bigint, n int")
+    d = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    members = written(with_words(d, ["_key"], "_text", n), "words")
+    fit = (F.col("_n_words") >= least_words) & (F.col("_n") > 0)
+    sets = written(distinct_sets(members, _fit=fit).where("_fit"), "sets")
+    h = sets.select("_id", "_n", "_w").mapInArrow(lambda it: _bands(it, n, bands, rows), "h bigint, id bigint, n int")
     h = written(h, "bands")
     shared = h.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("_hi")).where("rep < _hi").select("h", "rep")
     met = written(h.join(shared, "h"), "buckets")
     dropped(h)
-    size = reps.select(F.col("_set").alias("rep"), F.col("_n").alias("m"))
+    size = sets.select(F.col("_id").alias("rep"), F.col("_n").alias("m"))
     star = met.where("id > rep").select("rep", "id", "n").distinct().join(size, "rep").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
-    links = written(_verified(star.select(F.col("rep").alias("a"), F.col("id").alias("b")), reps, similarity), "links")
+    links = written(_verified(star.select(F.col("rep").alias("a"), F.col("id").alias("b")), sets, similarity, n), "links")
     part = written(connected_components(links), "parts")
     # members of a bucket that the stars left in different components
     placed = met.join(part, met.id == part.node, "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
@@ -127,9 +135,9 @@ def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text",
     rest = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") < F.col("r.root")) & _fit(F.col("l.n"), F.col("r.n"), similarity))
     rest = rest.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
     far = placed.where(F.col("c") > hot)
-    rest = (rest if far.isEmpty() else rest.union(_hot_pairs(far, reps, similarity))).distinct()
+    rest = (rest if far.isEmpty() else rest.union(_hot_pairs(far, sets, similarity, n))).distinct()
     rest = rest.join(star.select(F.col("rep").alias("a"), F.col("id").alias("b")), ["a", "b"], "left_anti")
-    more = written(_verified(rest, reps, similarity), "links")
+    more = written(_verified(rest, sets, similarity, n), "links")
     # roots of the first pass are joined by the new links
     roots = more.join(part, more.a == part.node, "left").select(F.coalesce("root", "a").alias("a"), "b")
     roots = roots.join(part, roots.b == part.node, "left").select("a", F.coalesce("root", "b").alias("b"))
@@ -137,8 +145,10 @@ def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text",
     up = part.join(top, part.root == top.node, "left").select(part.node, F.coalesce(top.root, part.root).alias("root"))
     alone = top.join(part, top.node == part.node, "left_anti").select("node", "root")
     group = up.union(alone)
-    out = members.select("_key", "_set").distinct().join(group, F.col("_set") == F.col("node"), "left")
-    return out.select(F.col("_key").alias(key), F.coalesce("root", "_set").alias("group_id")).distinct()
+    of = sets.select("_d1", "_d2", F.col("_id").alias("node")).join(group, "node", "left").select("_d1", "_d2", F.coalesce("root", "node").alias("root"))
+    mine = members.select("_key", fit.alias("_fit"), "_d1", "_d2").distinct()
+    own = mine.where("not _fit").select(F.col("_key").alias(key), F.concat(F.lit("own "), F.col("_key").cast("string")).alias("group_id"))
+    return mine.where("_fit").join(of, ["_d1", "_d2"]).select(F.col("_key").alias(key), F.col("root").cast("string").alias("group_id")).union(own).distinct()
 
 
 def group_pairs(groups: DataFrame, key: str = "guid") -> DataFrame:

@@ -43,22 +43,21 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.join(n, "group_id").select("guid", "group_guid", "group_size")
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return crosssplit.split_overlaps(table(spark, d, "input_examples"), contained=CONTAINED, n=RUN_WORDS, least_words=LEAST_WORDS)
+_P3 = {"contained": CONTAINED, "n": RUN_WORDS, "least_words": LEAST_WORDS}
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    o = _overlaps(spark, d)
+    o = crosssplit.split_overlaps(table(spark, d, "input_examples"), **_P3)
     return o.select(F.least("eval_key", "train_key").alias("guid_a"), F.greatest("eval_key", "train_key").alias("guid_b")).distinct()
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Per evaluation split and source: notes, notes that occur in training, of them unchanged ones, pairs."""
-    o = _overlaps(spark, d).groupBy(F.col("eval_key").alias("guid")).agg(F.count("*").alias("p"), F.min("edits").alias("e"), F.max((F.col("edits") == 0).cast("int")).alias("same"))
+    o = crosssplit.overlap_counts(table(spark, d, "input_examples"), **_P3).withColumnRenamed("eval_key", "guid")
     n = table(spark, d, "input_examples").where("guid IS NOT NULL").groupBy("guid").agg(F.min(crosssplit.clean_split(F.col("split"))).alias("split"), F.min(pieces.clean_name(F.col("source"))).alias("source"))
     j = n.where(F.col("split").isin("dev", "test")).join(o, "guid", "left")
     return j.groupBy("split", "source").agg(
-        F.count("*").alias("n_notes"), F.count("p").alias("n_overlapping"), F.sum(F.coalesce("same", F.lit(0))).alias("n_unchanged"), F.sum(F.coalesce("p", F.lit(0))).alias("n_pairs")
+        F.count("*").alias("n_notes"), F.count("n_links").alias("n_overlapping"), F.sum(F.coalesce("unchanged", F.lit(0))).alias("n_unchanged"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_pairs")
     )
 
 

@@ -1,27 +1,80 @@
-"""Word runs of notes as 64-bit hashes, and one table of distinct run sets with the notes that have them."""
+"""Words and word runs of notes as hashes, and the digests of their run sets."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of letters and digits of the lower-cased text.
-WORD = r"[\p{L}\p{N}]+"
+from spanloom.llm.hashing import digests, flat, lists, run_hashes, word_hashes
+
+#: Run sets of which a task remembers that it has given their words already.
+REMEMBERED = 200_000
+
+
+def with_words(df: DataFrame, keep: list[str], text: str = "text", n: int = 3) -> DataFrame:
+    """Columns `keep`, `_n_words`, `_n` (distinct runs of `n` words), `_even` (those of even hash), `_d1` and `_d2` (a 128-bit digest of the run set)
+    and `_w` (the hashes of the words in order; empty for a run set that the task has met before).
+
+    Null texts have no words. Two of m different runs share a 64-bit hash with a probability of about m * m / 2**65.
+    """
+    kept = df.select(*keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                p = b.slice(lo, 2000)
+                w, sizes = word_hashes([t or "" for t in p.column(len(keep)).to_pylist()])
+                r, of = run_hashes(w, sizes, n)
+                d = digests(r, of)
+                even = np.bincount(np.repeat(np.arange(len(of)), of)[r % np.uint64(2) == 0], minlength=len(of))
+                new = np.zeros(len(sizes), bool)
+                for i, k in enumerate(map(tuple, d.tolist())):
+                    if k not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(k)
+                        new[i] = True
+                w = w[np.repeat(new, sizes)].view(np.int64)
+                cols = [p.column(i) for i in range(len(keep))] + [pa.array(sizes, pa.int32()), pa.array(of, pa.int32()), pa.array(even, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(w, np.where(new, sizes, 0))]
+                yield pa.RecordBatch.from_arrays(cols, [*keep, "_n_words", "_n", "_even", "_d1", "_d2", "_w"])
 
-def words(text: Column) -> Column:
-    """The words of a text in order; none for a null text."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, _n_words int, _n int, _even int, _d1 bigint, _d2 bigint, _w array<bigint>")
 
 
-def with_shingles(df: DataFrame, keep: list[str], text: str = "text", n: int = 3) -> DataFrame:
-    """Columns `keep`, `_n_words`, `_runs` (distinct runs of `n` words as 64-bit hashes, in order of first use) and
-    `_set` (a hash of the run set, whatever the order).
+def distinct_sets(words: DataFrame, **flags: Column) -> DataFrame:
+    """One row per distinct run set: _id (bigint), _n, _even, _d1, _d2, _w and whether any of its notes has each of `flags`.
 
-    Two of m different runs share a hash with a probability of about m * m / 2**65. The words are bound as a lambda's
-    variable and the rows made by a generator, so that the optimizer can't copy the word expression into every use.
+    To be written once, since the ids are numbers of rows. All rows of `with_words` must be given, whatever their flags.
     """
-    runs = f"array_distinct(transform(sequence(1, size(w) - {n - 1}), i -> xxhash64({', '.join(f'w[i + {k - 1}]' for k in range(n))})))"
-    runs = f"IF(size(w) >= {n}, {runs}, cast(array() AS array<bigint>))"
-    rows = f"transform(transform(array(_w), w -> struct(size(w) AS n, {runs} AS r)), x -> struct(x.n AS _n_words, x.r AS _runs, xxhash64(sort_array(x.r), size(x.r)) AS _set))"
-    return df.select(*keep, words(F.col(text)).alias("_w")).select(*keep, F.expr(f"inline({rows})"))
+    g = words.where("_n > 0").groupBy("_d1", "_d2").agg(F.max("_n").alias("_n"), F.max("_even").alias("_even"), F.max("_w").alias("_w"), *[F.max(c).alias(k) for k, c in flags.items()])
+    return g.select(F.monotonically_increasing_id().alias("_id"), "_n", "_even", "_d1", "_d2", "_w", *flags)
+
+
+def runs_of(sets: DataFrame, n: int) -> DataFrame:
+    """(_id, run): the distinct runs of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, sizes = flat(b.column(1))
+            r, of = run_hashes(w.view(np.uint64), sizes, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), of)), pa.array(r.view(np.int64))], ["_id", "run"])
+
+    return sets.select("_id", "_w").mapInArrow(run, "_id bigint, run bigint")
+
+
+def shared_runs(wa: pa.Array, wb: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of word lists: runs that both have, runs of the first, runs of the second."""
+    (a, sa), (b, sb) = flat(wa), flat(wb)
+    (ra, na), (rb, nb) = run_hashes(a.view(np.uint64), sa, n), run_hashes(b.view(np.uint64), sb, n)
+    pa_, pb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    h, row = np.concatenate([ra, rb]), np.concatenate([pa_, pb])
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    both = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    return np.bincount(row[1:][both], minlength=len(na)), na, nb

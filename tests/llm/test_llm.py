@@ -95,17 +95,26 @@ def test_split_overlaps_against_brute_force(spark, notes):
     assert crosssplit.split_overlaps(df.limit(0), n=3).count() == 0
 
 
+def brute_edits(a, b):
+    d = [0] * (len(b) + 1)
+    for i, x in enumerate(a):
+        n = [i + 1]
+        for j, y in enumerate(b):
+            n.append(min(d[j] + (x != y), d[j + 1] + 1, n[j] + 1))
+        d = n
+    return min(d)
+
+
 def test_banded_distance():
     r = random.Random(5)
-    for _ in range(60):
-        a, b = [r.randint(0, 3) for _ in range(r.randint(1, 9))], [r.randint(0, 3) for _ in range(r.randint(0, 12))]
-        d = [0] * (len(b) + 1)
-        for i, x in enumerate(a):
-            n = [i + 1]
-            for j, y in enumerate(b):
-                n.append(min(d[j] + (x != y), d[j + 1] + 1, n[j] + 1))
-            d = n
-        assert crosssplit.banded_distance(np.array(a), np.array(b, np.int64), 0, 30) == min(d)
+    pairs = [([r.randint(0, 3) for _ in range(r.randint(1, 9))], [r.randint(0, 3) for _ in range(r.randint(0, 12))]) for _ in range(200)]
+    arrays = [(np.array(a, np.int64), np.array(b, np.int64)) for a, b in pairs]
+    got = crosssplit.banded_distances(arrays, np.zeros(200, np.int64), np.full(200, 30))
+    assert got.tolist() == [brute_edits(a, b) for a, b in pairs]
+    base = [r.randint(0, 10**6) for _ in range(300)]
+    cut = [base[40:90] + [7] + base[91:130], base[100:140]]
+    got = crosssplit.banded_distances([(np.array(c, np.int64), np.array(base, np.int64)) for c in cut] + [(np.array([1, 2]), np.array(base))], np.array([40, 103, 250]), np.array([5, 4, 3]))
+    assert got.tolist()[:2] == [1, 0] and got[2] == 2
 
 
 def test_pieces():
