@@ -296,8 +296,8 @@ def _mapped(scheme: str):
 for _s in L.TAXONOMY:
     query(_map_sql(_s))(_mapped(_s))
 
-_WP = ", gn AS (SELECT * FROM notes WHERE document_id IN (SELECT document_id FROM gold)), " + _matches_sql("gn", "document_id", r"[\p{L}\p{N}_]+|[^ \t\r\n\f\v\p{L}\p{N}_]")
-_BIO = BASE + _WP + """, bio AS (SELECT m.document_id, CASE WHEN row_number() OVER (PARTITION BY g.document_id, g.entity_type, g.start, g.stop ORDER BY m.start) = 1 THEN 'B-' ELSE 'I-' END || g.entity_type AS label, m.start, m.stop
+WORD_TOKENS_SQL = ", gn AS (SELECT * FROM notes WHERE document_id IN (SELECT document_id FROM gold)), " + _matches_sql("gn", "document_id", r"[\p{L}\p{N}_]+|[^ \t\r\n\f\v\p{L}\p{N}_]")
+_BIO = BASE + WORD_TOKENS_SQL + """, bio AS (SELECT m.document_id, CASE WHEN row_number() OVER (PARTITION BY g.document_id, g.entity_type, g.start, g.stop ORDER BY m.start) = 1 THEN 'B-' ELSE 'I-' END || g.entity_type AS label, m.start, m.stop
  FROM gold g JOIN matches m ON m.document_id = g.document_id AND m.start >= g.start AND m.stop <= g.stop)"""
 
 
@@ -333,12 +333,6 @@ def adjuvant_union(spark: SparkSession, d: str) -> DataFrame:
     return S.merge_union(p.where(F.col("model_name").startswith("bert")).unionByName(p.where(F.col("model_name").startswith("rules"))), ["document_id"])
 
 
-@query(BASE + " SELECT document_id, start, max_by(entity_type, created_at || '|' || stop || '|' || entity_type || '|' || model_name) AS entity_type FROM (SELECT p.*, q.created_at FROM pm p JOIN (SELECT " + _CLEAN + ", model_name, max(epoch_us(created_at)) AS created_at FROM predictions WHERE start IS NOT NULL AND stop > start GROUP BY ALL) q USING (document_id, start, stop, entity_type, model_name)) GROUP BY document_id, start")
-def dedup_last_prediction(spark: SparkSession, d: str) -> DataFrame:
-    p = S.clean_spans(table(spark, d, "predictions"), "model_name", "created_at").groupBy("document_id", "start", "stop", "entity_type", "model_name").agg(F.max(F.unix_micros("created_at")).alias("c"))
-    return p.groupBy("document_id", "start").agg(F.max_by("entity_type", F.concat_ws("|", "c", "stop", "entity_type", "model_name")).alias("entity_type"))
-
-
 @query(
     BASE
     + """ SELECT g.document_id, g.start, g.stop, g.entity_type, translate(substring(text, greatest(g.start - 50, 0) + 1, g.start - greatest(g.start - 50, 0)) || '**' || substring(text, g.start + 1, g.stop - g.start) || '**' || substring(text, g.stop + 1, 50), chr(13) || chr(10), '  ') AS context
@@ -351,13 +345,6 @@ def error_log_rows(spark: SparkSession, d: str) -> DataFrame:
     return j.select("document_id", "start", "stop", "entity_type", T.context(F.col("text"), F.col("start"), F.col("stop")).alias("context"))
 
 
-@query("SELECT guid, g.i::INT AS segment, (g.i * 60)::INT AS first_token, least(g.i * 60 + 100, n)::INT AS stop_token FROM (SELECT DISTINCT guid, len(regexp_extract_all(text, '[^ \\t\\r\\n\\f\\v]+')) AS n FROM input_examples) t, LATERAL (SELECT unnest(range(0, greatest(ceil((n - 100) / 60.0), 0)::INT + 1)) AS i) g WHERE n > 0")
-def segment_windows(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "input_examples").select("guid", F.size(F.regexp_extract_all("text", F.lit(f"[^{T.SPACE}]+"), F.lit(0))).alias("n")).distinct().where("n > 0")
-    s = n.select("guid", "n", F.explode(F.expr("sequence(0, cast(greatest(ceil((n - 100) / 60), 0) AS int))")).alias("segment"))
-    return s.select("guid", "segment", (F.col("segment") * 60).alias("first_token"), F.least(F.col("segment") * 60 + 100, F.col("n")).alias("stop_token"))
-
-
 @query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT vec_id, v, list_max(v) AS m FROM e) SELECT vec_id, (list_position(v, m) - 1)::BIGINT AS label_id, round(1.0 / list_sum(list_transform(v, lambda x: exp(x - m))), 9) AS prob FROM p")
 def softmax_argmax(spark: SparkSession, d: str) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
