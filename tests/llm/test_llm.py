@@ -120,15 +120,31 @@ def test_banded_distance():
 def test_pieces():
     r = random.Random(1)
     for _ in range(60):
-        t = "".join(r.choice(["w ", "ww. ", "x\n", "- y\n", "HEAD:\n", "\n\n", "z; ", "q "]) for _ in range(r.randint(0, 400)))
+        t = "".join(r.choice(["w ", "ww. ", "x\n", "- y\n", "  - yy\n", "HEAD:\n", "## sub\n", "\n\n", "z; ", "q "]) for _ in range(r.randint(0, 400)))
         starts, stops, strong = pieces.gap_strengths(t)
         n, length, step = len(starts), r.randint(6, 60), 0
-        step = r.randint(max(1, length // 2), length)
+        step = r.randint(max(1, length // 3), length)
         got = pieces.piece_ranges(strong, length, step)
-        assert all(0 < b - a <= length for a, b in got)
+        assert all(0 < b - a <= length for a, _, b in got)
         if n > length:
-            assert got[0][0] == 0 and got[-1][1] == n
-            assert all(x[1] - y[0] == length - step for x, y in zip(got, got[1:]))
+            assert got[0][0] == 0 and got[-1][2] == n
+            assert all(x[2] == y[1] and y[1] - y[0] == length - step for x, y in zip(got, got[1:]))
+
+
+def test_pieces_keep_to_the_tree():
+    """No piece holds the rest of a cut section and a heading after it; items stay with the items below them."""
+    section = lambda name, n: f"# {name}\n" + " ".join(f"{name.lower()}{i}." for i in range(n)) + "\n"
+    t = section("A", 25) + section("B", 6) + section("C", 3)
+    starts, stops, strong = pieces.gap_strengths(t)
+    got = [t[starts[own] : stops[b - 1]] for _, own, b in pieces.piece_ranges(strong, 12, 12)]
+    assert got[-1].startswith("# B") and "# C" not in got[-1] or got[-1].startswith("# C")
+    assert all("#" not in x[1:] or x.startswith("#") for x in got) and any(x.endswith("a24.") for x in got)
+    t = "# T\n## U\nu1 u2.\n## V\nv1 v2.\n# W\nw1 w2.\n"
+    starts, stops, strong = pieces.gap_strengths(t)
+    assert [t[starts[a] : stops[b - 1]] for a, b in pieces.pack(strong, 0, len(strong), 10)] == ["# T\n## U\nu1 u2.\n## V\nv1 v2.", "# W\nw1 w2."]
+    t = "- a a\n  - b b\n  - c c\n- d d\n  - e e\n"
+    starts, stops, strong = pieces.gap_strengths(t)
+    assert [t[starts[a] : stops[b - 1]] for a, b in pieces.pack(strong, 0, len(strong), 10)] == ["- a a\n  - b b\n  - c c", "- d d\n  - e e"]
 
 
 def test_oversized_edges(spark):
