@@ -69,13 +69,13 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_oversized(table(spark, d, "input_examples"), table(spark, d, "run_configs"))
 
 
-def _sizes(spark: SparkSession, d: str, *more: str) -> DataFrame:
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("source", pieces.clean_name(F.col("source")))
-    return written(tokens.with_token_counts(docs, ["doc_id", *more]), "sizes")
+    return written(tokens.with_token_counts(docs, ["doc_id", "source"]), "sizes")
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(_sizes(spark, d), table(spark, d, "container_specs"))
+    return packing.pack_documents(tokens.with_token_counts(table(spark, d, "documents"), ["doc_id"]), table(spark, d, "container_specs"))
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
@@ -83,12 +83,12 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
-    s = _sizes(spark, d, "source")
+    s = _sizes(spark, d)
     return mixing.mix_documents(s, mixing.mix_rates(s, table(spark, d, "mix_targets")))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    s = _sizes(spark, d, "source")
+    s = _sizes(spark, d)
     r = mixing.mix_rates(s, table(spark, d, "mix_targets"))
     return mixing.share_report(mixing.mix_documents(s, r), r)
 
