@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.hashing import flat, run_hashes
-from spanloom.llm.triples import distinct_sets, shared_runs, with_words
+from spanloom.llm.hashing import flat
+from spanloom.llm.triples import distinct_sets, runs_of, shared_runs, with_words
 from spanloom.session import written
 
 #: The band of the dynamic programme on either side of the diagonal is this share of the evaluation note's words, at least MIN_BAND.
 BAND_SHARE, MIN_BAND = 0.25, 8
 #: c of the segment join. With 1, any rare run that two notes share by chance makes a pair to check.
-PROBES = 6
+PROBES = 4
 #: Cells of the dynamic programme worked on at once.
 CELLS = 40_000
 FAR = 1 << 20
@@ -115,33 +115,17 @@ def _verdicts(batches: Iterator[pa.RecordBatch], n: int, contained: float) -> It
             yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(edits)], ["ea", "tb", "edits"]).filter(keep)
 
 
-def _grams(sets: DataFrame, n: int, half: bool) -> DataFrame:
-    """(_id, run, m): the distinct runs of each set, or the even ones of them; m: all runs of the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            w, sizes = flat(b.column(1))
-            r, of = run_hashes(w.view(np.uint64), sizes, n)
-            i = np.repeat(np.arange(len(of)), of)
-            if half:
-                even = r % np.uint64(2) == 0
-                r, i = r[even], i[even]
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[i]), pa.array(r.view(np.int64)), pa.array(of[i].astype(np.int32))], ["_id", "run", "m"])
-
-    return sets.select("_id", "_w").mapInArrow(run, "_id bigint, run bigint, m int")
-
-
-def _met(ev: DataFrame, tr: DataFrame, n: int, contained: float, half: bool) -> DataFrame:
-    """(ea, tb, m) that agree in at least c of the k+c probes of the evaluation note."""
-    grams = _grams(tr, n, half).select(F.col("_id").alias("tb"), "run")
-    # frequencies only rank the probes, so 31 bits of a run will do; a run that two share has df 1 or more
+def _met(ev: DataFrame, tr: DataFrame, n: int, contained: float) -> DataFrame:
+    """(ea, tb, m) that agree in at least c of the k+c probes of the evaluation note; m: its distinct runs."""
+    grams = runs_of(tr, n).select(F.col("_id").alias("tb"), "run")
+    # frequencies only rank the probes, so 31 bits of a run will do; a run that both sides have counts 1 at least
     low = F.shiftrightunsigned("run", 33).cast("int")
     often = grams.groupBy(low.alias("low")).agg(F.count("*").alias("df"))
-    segs = _grams(ev, n, half).join(often, low == F.col("low"), "left").na.fill(0, ["df"])
-    ranked = segs.groupBy(F.col("_id").alias("ea"), "m").agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("o"))
+    segs = runs_of(ev, n).join(often, low == F.col("low"), "left").na.fill(0, ["df"])
+    ranked = segs.groupBy(F.col("_id").alias("ea")).agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("o")).withColumn("m", F.size("o"))
     k = F.col("m") - F.ceil(F.col("m") * contained - 1e-9)
     first = F.slice("o", 1, (k + PROBES).cast("int"))
-    probe = ranked.select("ea", "m", F.least(F.lit(PROBES), F.size("o") - k).alias("least"), F.explode(F.filter(first, lambda x: x["df"] > 0)).alias("x")).select("ea", "m", "least", "x.run")
+    probe = ranked.select("ea", "m", F.least(F.lit(PROBES), F.col("m") - k).alias("least"), F.explode(F.filter(first, lambda x: x["df"] > 0)).alias("x")).select("ea", "m", "least", "x.run")
     return probe.join(grams, "run").groupBy("ea", "tb", "m", "least").agg(F.count("*").alias("c")).where("c >= least").select("ea", "tb", "m")
 
 
@@ -162,12 +146,7 @@ def split_links(df: DataFrame, key: str = "guid", text: str = "text", split: str
     fits = ~F.col("_train") & (F.col("_n_words") >= least_words)
     sets = written(distinct_sets(tok, _train=F.col("_train"), _eval=fits), "sets")
     ev, tr = sets.where("_eval"), sets.where("_train")
-    # half of all runs are probes enough, but for a note with too few of them
-    k = F.col("_n") - F.ceil(F.col("_n") * contained - 1e-9)
-    met = _met(ev.where(F.col("_even") > k), tr, n, contained, True)
-    thin = ev.where(F.col("_even") <= k)
-    if not thin.isEmpty():
-        met = met.unionByName(_met(thin, tr, n, contained, False))
+    met = _met(ev, tr, n, contained)
     words = lambda s, name: s.select(F.col("_id").alias(name), F.col("_w").alias(f"w{name}"))
     both = met.join(words(ev, "ea"), "ea").join(words(tr, "tb"), "tb").select("ea", "tb", "wea", "wtb", "m")
     links = written(both.mapInArrow(lambda it: _verdicts(it, n, contained), "ea bigint, tb bigint, edits int"), "links")

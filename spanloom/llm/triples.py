@@ -16,7 +16,7 @@ REMEMBERED = 200_000
 
 
 def with_words(df: DataFrame, keep: list[str], text: str = "text", n: int = 3) -> DataFrame:
-    """Columns `keep`, `_n_words`, `_n` (distinct runs of `n` words), `_even` (those of even hash), `_d1` and `_d2` (a 128-bit digest of the run set)
+    """Columns `keep`, `_n_words`, `_n` (distinct runs of `n` words), `_d1` and `_d2` (a 128-bit digest of the run set)
     and `_w` (the hashes of the words in order; empty for a run set that the task has met before).
 
     Null texts have no words. Two of m different runs share a 64-bit hash with a probability of about m * m / 2**65.
@@ -32,7 +32,6 @@ def with_words(df: DataFrame, keep: list[str], text: str = "text", n: int = 3) -
                 w, sizes = word_hashes([t or "" for t in p.column(len(keep)).to_pylist()])
                 r, of = run_hashes(w, sizes, n)
                 d = digests(r, of)
-                even = np.bincount(np.repeat(np.arange(len(of)), of)[r % np.uint64(2) == 0], minlength=len(of))
                 new = np.zeros(len(sizes), bool)
                 for i, k in enumerate(map(tuple, d.tolist())):
                     if k not in seen:
@@ -41,19 +40,19 @@ def with_words(df: DataFrame, keep: list[str], text: str = "text", n: int = 3) -
                         seen.add(k)
                         new[i] = True
                 w = w[np.repeat(new, sizes)].view(np.int64)
-                cols = [p.column(i) for i in range(len(keep))] + [pa.array(sizes, pa.int32()), pa.array(of, pa.int32()), pa.array(even, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(w, np.where(new, sizes, 0))]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, "_n_words", "_n", "_even", "_d1", "_d2", "_w"])
+                cols = [p.column(i) for i in range(len(keep))] + [pa.array(sizes, pa.int32()), pa.array(of, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(w, np.where(new, sizes, 0))]
+                yield pa.RecordBatch.from_arrays(cols, [*keep, "_n_words", "_n", "_d1", "_d2", "_w"])
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, _n_words int, _n int, _even int, _d1 bigint, _d2 bigint, _w array<bigint>")
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, _n_words int, _n int, _d1 bigint, _d2 bigint, _w array<bigint>")
 
 
 def distinct_sets(words: DataFrame, **flags: Column) -> DataFrame:
-    """One row per distinct run set: _id (bigint), _n, _even, _d1, _d2, _w and whether any of its notes has each of `flags`.
+    """One row per distinct run set: _id (bigint), _n, _d1, _d2, _w and whether any of its notes has each of `flags`.
 
     To be written once, since the ids are numbers of rows. All rows of `with_words` must be given, whatever their flags.
     """
-    g = words.where("_n > 0").groupBy("_d1", "_d2").agg(F.max("_n").alias("_n"), F.max("_even").alias("_even"), F.max("_w").alias("_w"), *[F.max(c).alias(k) for k, c in flags.items()])
-    return g.select(F.monotonically_increasing_id().alias("_id"), "_n", "_even", "_d1", "_d2", "_w", *flags)
+    g = words.where("_n > 0").groupBy("_d1", "_d2").agg(F.max("_n").alias("_n"), F.max("_w").alias("_w"), *[F.max(c).alias(k) for k, c in flags.items()])
+    return g.select(F.monotonically_increasing_id().alias("_id"), "_n", "_d1", "_d2", "_w", *flags)
 
 
 def runs_of(sets: DataFrame, n: int) -> DataFrame:
