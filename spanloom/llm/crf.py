@@ -40,6 +40,15 @@ class Chain:
             e += self.w[x[:, j]]
         return e
 
+    def packed(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each row among those that aren't zero (0: a row of zeros), and the weights by place."""
+        if getattr(self, "_packed", None) is None:
+            used = np.flatnonzero(self.w.any(axis=1))
+            place = np.zeros(len(self.w), np.int32)
+            place[used] = np.arange(1, len(used) + 1)
+            self._packed = place, np.concatenate([np.zeros((1, self.labels), np.float32), self.w[used]])
+        return self._packed
+
     def _padded(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(time, batch, labels) emissions of sequences laid end to end, and the flat places (time, batch), -1 for none."""
         n, b = int(lengths.max()), len(lengths)
@@ -84,16 +93,19 @@ class Chain:
         sizes = lengths[order]
         n = int(sizes[0])
         live = np.searchsorted(-sizes, -np.arange(n), side="left")  # sequences longer than i
-        back = [np.zeros((0, self.labels), np.int8)]
+        back = np.zeros((len(e), self.labels), np.int8)
         d = self.s[None] + e[first[: live[0]]]
         ends = np.empty((len(sizes), self.labels), np.float32)
+        into = np.ascontiguousarray(self.t.T)  # (to, from)
+        row = np.arange(len(sizes) * self.labels) * self.labels
         for i in range(1, n):
             k = live[i]
             ends[k : len(d)] = d[k:]
-            m = d[:k, :, None] + self.t[None]
+            m = (d[:k, None, :] + into).reshape(-1, self.labels)
             best = m.argmax(axis=1)
-            back.append(best.astype(np.int8))
-            d = np.take_along_axis(m, best[:, None, :], axis=1)[:, 0] + e[first[:k] + i]
+            at = first[:k] + i
+            back[at] = best.reshape(k, -1)
+            d = m.ravel()[row[: len(m)] + best].reshape(k, -1) + e[at]
         ends[: len(d)] = d
         out = np.zeros(len(e), np.int8)
         y = np.zeros(len(sizes), np.int64)
@@ -102,39 +114,48 @@ class Chain:
             done = live[i + 1] if i + 1 < n else 0
             y[done:k] = ends[done:k].argmax(axis=1)
             if done:
-                y[:done] = back[i + 1][np.arange(done), y[:done]]
+                y[:done] = back[first[:done] + i + 1, y[:done]]
             out[first[:k] + i] = y[:k]
         return out
 
-    def train(self, xs: list[np.ndarray], ys: list[np.ndarray], epochs: int = 6, batch_tokens: int = 6000, rate: float = 0.1, decay: float = 1e-2, seed: int = 7, seen: int = 20) -> Chain:
+    def train(self, xs: list[np.ndarray], ys: list[np.ndarray], epochs: int = 6, batch_tokens: int = 9000, rate: float = 0.1, decay: float = 1e-2, seed: int = 7, seen: int = 20) -> Chain:
         """Penalised maximum likelihood by AdaGrad over batches of sequences of like length; deterministic for a seed.
 
-        Features of fewer than `seen` tokens keep the weight 0: they would only learn the noise of the labels.
+        Features of fewer than `seen` tokens keep the weight 0: they would only learn the noise of the labels. The others
+        are numbered on, so that their weights lie close together.
         """
         count = np.zeros(1 << self.bits, np.int64)
         for x in xs:
-            np.add.at(count, x.ravel(), 1)
+            count += np.bincount(x.ravel(), minlength=len(count))
+        used = np.flatnonzero(count >= seen)
+        place = np.zeros(1 << self.bits, np.int32)
+        place[used] = np.arange(1, len(used) + 1)
+        w = np.concatenate([np.zeros((1, self.labels), np.float32), self.w[used]])
         order = sorted((i for i in range(len(xs)) if len(xs[i])), key=lambda i: (len(xs[i]), i))
         batches: list[list[int]] = []
         for i in order:
             if not batches or (len(batches[-1]) + 1) * len(xs[i]) > batch_tokens:
                 batches.append([])
             batches[-1].append(i)
-        gw, gt, gs = np.full((1 << self.bits, 1), 1e-6, np.float32), np.full_like(self.t, 1e-6), np.full_like(self.s, 1e-6)
+        gw, gt, gs = np.full((len(w), 1), 1e-6, np.float32), np.full_like(self.t, 1e-6), np.full_like(self.s, 1e-6)
         rng = np.random.default_rng(seed)
         kept = []
         for b in batches:
-            x = np.concatenate([xs[i] for i in b])
+            x = place[np.concatenate([xs[i] for i in b])]
             y = np.concatenate([ys[i] for i in b]).astype(np.int64)
             flat = x.ravel()
-            live = np.flatnonzero(count[flat] >= seen)
+            live = np.flatnonzero(flat)
             by = live[np.argsort(flat[live], kind="stable")]
             rows, start = np.unique(flat[by], return_index=True)
-            kept.append((x, y, np.array([len(xs[i]) for i in b]), (by // x.shape[1]).astype(np.int32), rows, start))
+            kept.append((np.ascontiguousarray(x.T), y, np.array([len(xs[i]) for i in b]), (by // x.shape[1]).astype(np.int32), rows, start))
         for _ in range(epochs):
             for b in rng.permutation(len(kept)):
                 x, y, lengths, token, rows, start = kept[b]
-                m, pairs, starts = self.marginals(self.scores(x), lengths)
+                e = np.zeros((len(y), self.labels), np.float32)
+                part = np.empty_like(e)
+                for column in x:
+                    e += np.take(w, column, axis=0, out=part, mode="clip")
+                m, pairs, starts = self.marginals(e, lengths)
                 m[np.arange(len(y)), y] -= 1
                 first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 inner = np.ones(len(y), bool)
@@ -144,11 +165,12 @@ class Chain:
                 np.add.at(starts, y[first], -1)
                 if not len(rows):
                     continue
-                g = np.add.reduceat(m[token], start, axis=0) + decay * len(lengths) * self.w[rows]
+                g = np.add.reduceat(np.take(m, token, axis=0, mode="clip"), start, axis=0) + decay * len(lengths) * w[rows]
                 gw[rows] += (g * g).mean(axis=1, keepdims=True)
-                self.w[rows] -= rate * g / np.sqrt(gw[rows])
+                w[rows] -= rate * g / np.sqrt(gw[rows])
                 gt += pairs * pairs
                 self.t -= rate * pairs / np.sqrt(gt)
                 gs += starts * starts
                 self.s -= rate * starts / np.sqrt(gs)
+        self.w[used] = w[1:]
         return self

@@ -1,262 +1,300 @@
 """Personal information inside free text (problem 1).
 
 A linear-chain conditional random field over word-shape features, trained from a bounded sample of the notes with gold
-spans, decoded by Viterbi in numpy batches. Gold is noisy (missing, shifted, mistyped spans), so it is cleaned first:
-spans are moved to word boundaries, and two fields, each trained on one half, correct the other half.
+spans, decoded by Viterbi in numpy batches. The path of labels alone decides where mentions are, of which type, and
+where they end: tokens are runs of letters, runs of digits and single signs, so every end is an end of a token. Gold is
+noisy (missing, shifted, mistyped spans), so it is cleaned before training: spans are moved to the ends of words, and two
+fields, each trained on one half, correct the other half.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.crf import Chain
+from spanloom.llm.hashing import codes_of, prefix_sums, range_hashes
 
 TYPES = ("NAME", "EMAIL", "PHONE", "ID", "STREET")
 #: Gold types that stand for the types found here; others are no mentions.
 GOLD = {"PATIENT": "NAME", "DOCTOR": "NAME", "NAME": "NAME", "EMAIL": "EMAIL", "PHONE": "PHONE", "FAX": "PHONE", "IDNUM": "ID", "MEDICALRECORD": "ID", "ID": "ID", "STREET": "STREET"}
 #: Most gold notes in training, chosen by a hash of their key.
-TRAIN_NOTES = 1300
+TRAIN_NOTES = 2600
+#: Times that the training goes through so many notes, at most; smaller samples are gone through more often, up to MOST_ROUNDS.
+ROUNDS, MOST_ROUNDS = 2, 4
+#: Most names of the fixed name list, which every worker holds.
+MOST_NAMES = 1_000_000
 LABELS = 1 + 2 * len(TYPES)  # 0: none; 1 + 2k: first token of type k; 2 + 2k: a further one
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|_|[^\w\s]")
-_DIGITS = str.maketrans("123456789", "000000000")
-#: Abbreviated street words whose point belongs to the mention.
-STREET_WORDS = frozenset("st ave rd ln blvd ct dr pl ter terr hwy pkwy sq cir str av bd c".split())
 BITS = 18
+PAD = 5
+SPACE, LETTER, DIGIT, UNDER, SIGN = range(5)
 
 
 def _h(*parts: object) -> int:
     return zlib.crc32("\x1f".join(map(str, parts)).encode()) | (zlib.adler32("\x1e".join(map(str, parts)).encode()) << 32)
 
 
+@functools.lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of each code point: white space, letter, digit, underscore, sign."""
+    out = np.full(sys.maxunicode + 1, SIGN, np.uint8)
+    for c in range(0x40000):
+        x = chr(c)
+        if x.isalnum():
+            out[c] = DIGIT if unicodedata.category(x) == "Nd" else LETTER
+        elif x.isspace():
+            out[c] = SPACE
+    out[ord("_")] = UNDER
+    return out
+
+
+class Tokens:
+    """Tokens of several texts laid end to end, PAD empty ones before the first and after each text.
+
+    `at`: start and stop of the real tokens in code points of their text; `real`: their places among all; `sizes`: real
+    tokens of each text; `gap`: what stands before a token: 0 nothing, 1 a blank, 2 a line end, 3 the text's start or
+    more line ends, 4 an empty token; `ids`: types in the lexicon. A type is a token with its digits as 0.
+    """
+
+    def __init__(self, texts: list[str], lexicon: Lexicon):
+        kind = _classes()
+        joined = "\n".join(texts)
+        c = codes_of(joined)
+        k = kind[c]
+        c = np.where(k == DIGIT, np.uint32(ord("0")), c)
+        new = np.ones(len(c), bool)
+        new[1:] = (k[1:] != k[:-1]) | (k[1:] >= UNDER)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(c)) if len(first) else first
+        real = k[first] != SPACE
+        a, b = first[real], last[real]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        upto = np.searchsorted(a, ends)
+        self.sizes = np.diff(upto, prepend=0).astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), self.sizes)
+        self.at = np.stack([a, b], axis=1).astype(np.int64) - (np.concatenate([[0], ends[:-1]])[row] if len(row) else np.zeros(0, np.int64))[:, None]
+        lines = np.concatenate([[0], np.cumsum((c == 10) | (c == 13))])
+        gap = np.full(len(a), 3, np.uint64)
+        if len(a) > 1:
+            n = lines[a[1:]] - lines[b[:-1]]
+            gap[1:] = np.where(n > 1, 3, np.where(n == 1, 2, a[1:] > b[:-1]))
+            gap[1:][row[1:] != row[:-1]] = 3
+        self.real = np.arange(len(a)) + PAD * (row + 1)
+        total = len(a) + PAD * (len(texts) + 1)
+        self.gap = np.full(total, 4, np.uint64)
+        self.gap[self.real] = gap
+        self.ids = np.zeros(total, np.int64)
+        self.signs = k[a] == SIGN
+        if len(a):
+            h, one, inverse = np.unique(range_hashes(prefix_sums(c), a, b), return_index=True, return_inverse=True)
+            self.ids[self.real] = lexicon.types(h, lambda i: joined[a[one[i]] : b[one[i]]])[inverse]
+
+
+#: Features of one token at an offset, as (offset, column, number): word and shape and name kind around, parts of the
+#: word itself, and the words of the four places on either side whatever their order, which share a number.
+#: Columns: 0 word, 1 shape, 2 and 3 prefixes, 4 to 6 suffixes, 7 name kind, 8 short shape.
+_AT = [*[(o, 0) for o in range(-2, 3)], *[(o, c) for o in range(-2, 3) for c in (1, 7)], *[(0, c) for c in (2, 3, 4, 5, 6)], (-1, 5), (1, 5)]
+SINGLE = [*[(o, c, i) for i, (o, c) in enumerate(_AT)], *[(o, 0, 90) for o in range(-4, 0)], *[(o, 0, 91) for o in range(1, 5)]]
+GAP = 9
+#: Features of several tokens, as (column, offset) each; GAP is the gap before a token.
+CROSSED = [
+    ((GAP, 0), (GAP, 1), (1, 0)),
+    ((GAP, 0), (0, -1), (1, 0)),
+    *[((0, a), (0, a + 1)) for a in (-3, -2, -1, 0, 1)],
+    *[((1, a), (1, a + 1), (GAP, a + 1)) for a in (-1, 0)],
+    *[((7, a), (7, a + 1)) for a in (-1, 0)],
+    ((1, -1), (1, 0), (1, 1)),
+    ((1, -2), (1, -1), (1, 0)),
+    ((1, 0), (1, 1), (1, 2)),
+    ((0, -1), (1, 0)),
+    ((0, -2), (0, -1), (1, 0)),
+    ((0, -3), (0, -2), (0, -1), (8, 0)),
+    ((1, 0), (0, 1)),
+    ((1, 0), (0, 1), (0, 2)),
+    ((8, 0), (0, 1), (0, 2), (0, 3)),
+    ((0, -2), (1, -1), (1, 0)),
+]
+_ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_SHIFT = np.uint64(64 - BITS)
+
+
+def _row(h: np.ndarray, salt: int) -> np.ndarray:
+    """The weight row of a feature from the sum of its parts."""
+    with np.errstate(over="ignore"):
+        return (((h ^ (h >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD * (2 * salt + 1) % 2**64 | 1)) >> _SHIFT).astype(np.int32)
+
+
 class Lexicon:
-    """Codes of token types; a type is a token with its digits as 0. Remembered per worker, bounded."""
+    """Codes of token types, remembered per worker; with `weights`, also the summed weights of their single features."""
 
-    COLS = 9  # word, shape, prefix 2, prefix 3, suffix 2, suffix 3, suffix 4, name kind, short shape
-    MOST = 300_000
+    COLS = 9
+    MOST = 150_000
 
-    def __init__(self, names: dict[str, str]):
-        self.names = names
-        self.ids: dict[str, int] = {}
-        self.codes = np.zeros((4096, self.COLS), np.uint64)
-        self._add("\x00")
+    def __init__(self, names: dict[str, str], weights: np.ndarray | None = None):
+        self.names, self.weights = names, weights
+        self._clear()
 
-    def _add(self, token: str) -> int:
-        n = len(self.ids)
-        if n == len(self.codes):
+    def _clear(self) -> None:
+        self.ids: dict[int, int] = {}
+        self.codes = np.zeros((4096, self.COLS), np.uint64)
+        self.n = 0
+        if self.weights is not None:
+            self.sums = np.zeros((9, 4096, self.weights.shape[1]), np.float32)
+        self._add(["\x00"])
+
+    def _add(self, tokens: list[str]) -> None:
+        lo, hi = self.n, self.n + len(tokens)
+        while hi > len(self.codes):
             self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
-        low = token.lower()
-        shape = re.sub(r"[^\W\d_a-z]", lambda m: "X" if m.group().isupper() else "x", re.sub("[a-z]", "x", token))
-        short = re.sub(r"(.)\1+", r"\1+", shape)
-        shape = shape if len(shape) <= 3 or shape[0] == "0" else short
-        kind = self.names.get(low, "-") if len(low) > 1 else "-"
-        parts = (("w", low), ("s", shape), ("p2", low[:2]), ("p3", low[:3]), ("q2", low[-2:]), ("q3", low[-3:]), ("q4", low[-4:]), ("n", kind, short), ("k", short))
-        self.codes[n] = [_h(*p) for p in parts]
-        self.ids[token] = n
-        return n
-
-    def __call__(self, tokens: list[str]) -> np.ndarray:
-        if len(self.ids) > self.MOST:
-            self.ids.clear()
-            self._add("\x00")
-        ids = self.ids
-        return np.fromiter((ids[t] if t in ids else self._add(t) for t in tokens), np.int64, len(tokens))
-
-
-def tokens_of(text: str) -> tuple[list[str], np.ndarray]:
-    """Tokens (digits as 0) and their (start, stop) in code points: runs of letters, runs of digits, single signs."""
-    found = list(_TOKEN.finditer(text.translate(_DIGITS)))
-    return [m.group() for m in found], np.array([m.span() for m in found], np.int64).reshape(-1, 2)
-
-
-def _gaps(text: str, at: np.ndarray) -> np.ndarray:
-    """What stands before each token: 0 nothing, 1 a blank, 2 a line end, 3 the note's start or more line ends."""
-    g = np.zeros(len(at), np.uint64)
-    if len(at):
-        g[0] = 3
-        d = at[1:, 0] - at[:-1, 1]
-        g[1:] = d > 0
-        for i in np.flatnonzero(d > 0) + 1:
-            s = text[at[i - 1, 1] : at[i, 0]]
-            if "\n" in s or "\r" in s:
-                g[i] = 2 if s.count("\n") + s.count("\r") < 2 else 3
-    return g
+            if self.weights is not None:
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)], axis=1)
+        for n, token in enumerate(tokens, lo):
+            low = token.lower()
+            shape = re.sub(r"[^\W\d_a-z]", lambda m: "X" if m.group().isupper() else "x", re.sub("[a-z]", "x", token))
+            short = re.sub(r"(.)\1+", r"\1+", shape)
+            shape = shape if len(shape) <= 3 or shape[0] == "0" else short
+            kind = self.names.get(low, "-") if len(low) > 1 else "-"
+            parts = (("w", low), ("s", shape), ("p2", low[:2]), ("p3", low[:3]), ("q2", low[-2:]), ("q3", low[-3:]), ("q4", low[-4:]), ("n", kind, short), ("k", short))
+            self.codes[n] = [_h(*p) for p in parts]
+        self.n = hi
+        if self.weights is not None:
+            for o, c, i in SINGLE:
+                self.sums[o + 4, lo:hi] += self.weights[_row(self.codes[lo:hi, c], i)]
+
+    def types(self, hashes: np.ndarray, token: object) -> np.ndarray:
+        """Ids of the types with these hashes; `token(i)` is the text of the i-th, asked for where it is new."""
+        if self.n > self.MOST:
+            self._clear()
+        keys = hashes.tolist()
+        new = [i for i, h in enumerate(keys) if h not in self.ids]
+        self.ids.update(zip((keys[i] for i in new), range(self.n, self.n + len(new))))
+        self._add([re.sub(r"\d", "0", token(i)) for i in new])
+        return np.fromiter((self.ids[h] for h in keys), np.int64, len(keys))
+
+
+def _crossed(t: Tokens, lexicon: Lexicon) -> Iterator[np.ndarray]:
+    """Weight rows of the crossed features for all places but the outer PAD ones, one array a feature."""
+    n = len(t.ids) - 2 * PAD
+    codes = {c: lexicon.codes[t.ids, c] for c in (0, 1, 7, 8)}
+    codes[GAP] = t.gap * np.uint64(0x9FB21C651E98DF25)
+    for i, parts in enumerate(CROSSED):
+        h = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for k, (c, o) in enumerate(parts):
+                h += codes[c][PAD + o : PAD + o + n] * _ODD[k]
+        yield _row(h, 1000 + i)
+
+
+def features(t: Tokens, lexicon: Lexicon) -> np.ndarray:
+    """Feature rows (real tokens, features) for training."""
+    inner = t.real - PAD
+    single = [_row(lexicon.codes[t.ids[t.real + o], c], i) for o, c, i in SINGLE]
+    return np.ascontiguousarray(np.stack([*single, *[r[inner] for r in _crossed(t, lexicon)]], axis=1))
+
+
+def scores(t: Tokens, lexicon: Lexicon, chain: Chain) -> np.ndarray:
+    """Emission scores of the real tokens: single features by type, crossed ones by weight row."""
+    n = len(t.ids) - 2 * PAD
+    e = np.zeros((max(n, 0), LABELS), np.float32)
+    if n <= 0:
+        return e
+    part = np.empty_like(e)
+    for o in range(-4, 5):
+        e += np.take(lexicon.sums[o + 4], t.ids[PAD + o : PAD + o + n], axis=0, out=part, mode="clip")
+    place, weights = chain.packed()
+    for r in _crossed(t, lexicon):
+        p = place[r]
+        known = np.flatnonzero(p)
+        if 3 * len(known) < n:
+            e[known] += weights[p[known]]
+        else:
+            e += np.take(weights, p, axis=0, out=part, mode="clip")
+    return e[t.real - PAD]
+
+
+def spans_of(labels: np.ndarray, at: np.ndarray, signs: np.ndarray, text: str) -> list[tuple[str, int, int]]:
+    """Mentions (type, start, stop) of a label path, in order, disjoint. A mention starts and ends with a letter or digit;
+    signs at its ends stay only where the type may have them there: ( and + before a phone number, . after a street."""
+    out = []
+    for i, j in _runs(labels) if labels.any() else ():
+        kind = TYPES[(labels[i] - 1) // 2]
+        while i < j and signs[i] and not (kind == "PHONE" and text[at[i, 0]] in "(+"):
+            i += 1
+        while j > i and signs[j - 1] and not (kind == "STREET" and text[at[j - 1, 0]] == "." and j - i > 1):
+            j -= 1
+        if i < j and not signs[i:j].all():
+            out.append((kind, int(at[i, 0]), int(at[j - 1, 1])))
+    return out
 
 
-PAD = 5
+#: Signs that hold a mention of each type together where no white space is; only gold is moved by them.
+_INNER = {"NAME": "'’-", "EMAIL": "@._+-", "PHONE": "-–.()+", "ID": "-/", "STREET": "-."}
 
 
-def features(texts: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Feature rows (n, f) of all tokens of the texts, laid end to end; tokens per text; their places."""
-    tok, gaps, places = [], [], []
-    sizes = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        t, at = tokens_of(text)
-        tok.extend(t)
-        tok.extend(["\x00"] * PAD)
-        gaps.append(_gaps(text, at))
-        gaps.append(np.full(PAD, 4, np.uint64))
-        places.append(at)
-        sizes[i] = len(t)
-    ids = np.concatenate([np.zeros(PAD, np.int64), lexicon(tok)])
-    gap = np.concatenate([np.full(PAD, 4, np.uint64), *gaps])
-    c = lexicon.codes[ids].T
-    real = np.flatnonzero(np.concatenate([np.zeros(PAD, bool), *[np.repeat([True, False], [n, PAD]) for n in sizes]]))
-    w, s, p2, p3, q2, q3, q4, nm, k = c
-    cols: list[np.ndarray] = []
-
-    def add(*parts: np.ndarray) -> None:
-        with np.errstate(over="ignore"):
-            h = np.full(len(real), np.uint64(len(cols) + 1) * np.uint64(0x9E3779B97F4A7C15))
-            for p in parts:
-                h = (h ^ p) * np.uint64(0xFF51AFD7ED558CCD)
-                h ^= h >> np.uint64(32)
-        cols.append((h & np.uint64((1 << BITS) - 1)).astype(np.int32))
-
-    at = lambda x, o: x[real + o]
-    add()
-    for o in (-4, -3, -2, -1, 0, 1, 2, 3, 4):
-        add(at(w, o))
-    for o in (-2, -1, 0, 1, 2):
-        add(at(s, o))
-        add(at(nm, o))
-    for x in (p2, p3, q2, q3, q4):
-        add(at(x, 0))
-    for o in (-1, 1):
-        add(at(q3, o))
-    add(at(gap, 0), at(s, 0))
-    add(at(gap, 1), at(s, 0))
-    add(at(gap, 0), at(w, -1), at(s, 0))
-    add(at(gap, 0), at(gap, 1), at(s, 0))
-    for a, b in ((-3, -2), (-2, -1), (-1, 0), (0, 1), (1, 2), (2, 3)):
-        add(at(w, a), at(w, b))
-    for a, b in ((-1, 0), (0, 1)):
-        add(at(s, a), at(s, b), at(gap, b))
-        add(at(nm, a), at(nm, b))
-    add(at(s, -1), at(s, 0), at(s, 1))
-    add(at(s, -2), at(s, -1), at(s, 0))
-    add(at(s, 0), at(s, 1), at(s, 2))
-    add(at(w, -1), at(s, 0))
-    add(at(w, -2), at(w, -1), at(s, 0))
-    add(at(w, -3), at(w, -2), at(w, -1), at(k, 0))
-    add(at(s, 0), at(w, 1))
-    add(at(s, 0), at(w, 1), at(w, 2))
-    add(at(k, 0), at(w, 1), at(w, 2), at(w, 3))
-    add(at(w, -2), at(s, -1), at(s, 0))
-    return np.ascontiguousarray(np.stack(cols, axis=1)), sizes, places
-
-
-def spans_of(labels: np.ndarray, at: np.ndarray, text: str) -> list[tuple[str, int, int]]:
-    """Mentions (type, start, stop) of a label path, with their ends put to the rules for ends, in order, disjoint."""
-    if not labels.any():
-        return []
-    found = []
-    for i, j in _runs(labels):
-        m = fitted(TYPES[(labels[i] - 1) // 2], int(at[i, 0]), int(at[j - 1, 1]), text)
-        if m:
-            found.append(m)
-    out: list[tuple[str, int, int]] = []
-    for m in sorted(found, key=lambda m: (m[1] - m[2], m)):  # of two that meet, the longer
-        if all(m[2] <= o[1] or m[1] >= o[2] for o in out):
-            out.append(m)
-    return sorted(out, key=lambda m: m[1])
-
-
-#: Signs inside a mention of each type that hold it together where no white space is.
-_INNER = {"NAME": "'’-", "EMAIL": "@._+-", "PHONE": "-–.()+", "ID": "-/", "STREET": "-"}
-_AT = re.compile(r"@|\bat\b", re.I)
-_BEFORE_AT = re.compile(r"[A-Za-z0-9._+\-]+[ \t\r\n\u00a0]*\[?[ \t]*$")
-_REST_OF_STREET = re.compile(r"\.?\s+(?:[^\W\d_]+\s+){1,2}?(?:street|road|lane|court|way|terrace|avenue|drive|place|blvd|st|ave|rd|ln|ct|dr)\b", re.I)
-_HOUSE = re.compile(r"\d{1,5}(?:-\d+)?[a-z]?\s+(?:[NSEWnsew]\.?\s+)?(?:[^\W\d_]+\s+){0,3}$")
-
-
-def fitted(kind: str, a: int, b: int, text: str) -> tuple[str, int, int] | None:
-    """A mention of this type about [a, b): spread over the run of its characters, then cut to its first and last
-    letter or digit, with the opening sign of a phone number and the point of an abbreviated street word. None if what
-    is left can't be of the type (a name with digits, a phone number of under seven, and so on)."""
-    inner = _INNER[kind]
+def snapped(kind: str, a: int, b: int, text: str, points: frozenset[str] = frozenset()) -> tuple[int, int]:
+    """The ends of a gold span moved out to the ends of the words they cut, without signs around and possessive s. A
+    street keeps the point after it if its last word is one of `points`."""
+    inner, n = _INNER[kind], len(text)
     while a < b and not text[a].isalnum():
         a += 1
     while b > a and not text[b - 1].isalnum():
         b -= 1
     if a >= b:
-        return None
-    letters = kind == "NAME"
-    while a and (text[a - 1].isalpha() or (text[a - 1].isdigit() and not letters) or (text[a - 1] in inner and a > 1 and text[a - 2].isalnum())):
+        return a, a
+    while a and (text[a - 1].isalnum() or (text[a - 1] in inner and a > 1 and text[a - 2].isalnum())):
         a -= 1
-    n = len(text)
-    while b < n and (text[b].isalpha() or (text[b].isdigit() and not letters) or (text[b] in inner and b + 1 < n and text[b + 1].isalnum())):
+    while b < n and (text[b].isalnum() or (text[b] in inner and b + 1 < n and text[b + 1].isalnum())):
         b += 1
-    while a < b and not text[a].isalnum():
-        a += 1
-    while b > a and not text[b - 1].isalnum():
-        b -= 1
-    s = text[a:b]
-    digits = sum(c.isdigit() for c in s)
-    if kind == "NAME":
-        if len(s) > 2 and s[-1] in "sS" and s[-2] in "'’":
-            b -= 2
-            while b > a and not text[b - 1].isalnum():
-                b -= 1
-        if digits or b <= a:
-            return None
-    elif kind == "EMAIL":
-        if not _AT.search(s):
-            return None
-        if s[:2].lower() == "at" and not s[2:3].isalnum():
-            m = _BEFORE_AT.search(text, max(0, a - 60), a)
-            a = m.start() if m else a
-    elif kind == "PHONE":
-        if digits < 7 or "/" in s:
-            return None
-        if a and text[a - 1] == "(" and ")" in s:
+    if kind == "NAME" and b - a > 2 and text[b - 1] in "sS" and text[b - 2] in "'’":
+        b -= 2
+    if kind == "PHONE":
+        if a and text[a - 1] == "(" and ")" in text[a:b]:
             a -= 1
         if a and text[a - 1] == "+":
             a -= 1
-    elif kind == "ID":
-        if digits < 3 or "," in s or "." in s:
-            return None
-    elif kind == "STREET":
-        if not digits:
-            m = _HOUSE.search(text, max(0, a - 60), a)
-            if not m:
-                return None
-            a = m.start()
-        if not any(c.isalpha() for c in s):
-            return None
-        if re.search(r"\b[NSEWnsew]$", s):
-            m = _REST_OF_STREET.match(text, b, min(n, b + 60))
-            if m:
-                b = m.end()
-                s = text[a:b]
-        if text[b : b + 1] == ".":
-            last = re.search(r"[^\W\d_]+$", s)
-            if last and last.group().lower() in STREET_WORDS:
-                b += 1
-    return kind, a, b
-
-
-def gold_labels(text: str, at: np.ndarray, spans: list[tuple[int, int, str]]) -> np.ndarray:
-    """Labels of the tokens that lie at least half within a gold span; longer spans win over shorter ones."""
+    return a, b + (kind == "STREET" and text[b : b + 1] == "." and _last_word(text, a, b) in points)
+
+
+def _last_word(text: str, a: int, b: int) -> str:
+    m = re.search(r"[^\W\d_]+$", text[a:b])
+    return m.group().lower() if m else ""
+
+
+def pointed_words(texts: list[str], gold: list[list[tuple[int, int, str]]]) -> frozenset[str]:
+    """The words at the end of gold streets whose point, where one follows, most of that gold includes: abbreviations."""
+    seen: dict[str, list[int]] = {}
+    for text, spans in zip(texts, gold):
+        for a, b, kind in spans:
+            with_point = text[b - 1 : b] == "."
+            if kind == "STREET" and (with_point or text[b : b + 1] == "."):
+                seen.setdefault(_last_word(text, a, b - with_point), []).append(with_point)
+    return frozenset(w for w, x in seen.items() if w and 2 * sum(x) >= len(x))
+
+
+def gold_labels(text: str, at: np.ndarray, spans: list[tuple[int, int, str]], points: frozenset[str] = frozenset()) -> np.ndarray:
+    """Labels of the tokens of gold spans (start, stop, type); longer spans win over shorter ones. A span is first cut to
+    the tokens that lie at least half within it, since gold is shifted by a few characters now and then."""
     y = np.zeros(len(at), np.int8)
     for a, b, kind in sorted(spans, key=lambda s: (s[0] - s[1], s)):
         if kind not in TYPES or not len(at):
             continue
-        for _ in range(2):
-            over = np.minimum(at[:, 1], b) - np.maximum(at[:, 0], a)
-            hit = np.flatnonzero((2 * over >= at[:, 1] - at[:, 0]) & (over > 0))
-            m = fitted(kind, int(at[hit[0], 0]), int(at[hit[-1], 1]), text) if len(hit) else None
-            if not m:
-                break
-            a, b = m[1:]
-        if not m or y[hit].any():
+        over = np.minimum(at[:, 1], b) - np.maximum(at[:, 0], a)
+        hit = np.flatnonzero((2 * over >= at[:, 1] - at[:, 0]) & (over > 0))
+        if not len(hit):
+            continue
+        a, b = snapped(kind, int(at[hit[0], 0]), int(at[hit[-1], 1]), text, points)
+        hit = np.flatnonzero((at[:, 0] >= a) & (at[:, 1] <= b))
+        if not len(hit) or y[hit].any():
             continue
         k = TYPES.index(kind)
         y[hit] = 2 + 2 * k
@@ -265,23 +303,23 @@ def gold_labels(text: str, at: np.ndarray, spans: list[tuple[int, int, str]]) ->
 
 
 def _runs(y: np.ndarray) -> list[tuple[int, int]]:
-    out, i = [], 0
-    while i < len(y):
-        j = i + 1
-        if y[i]:
-            while j < len(y) and y[j] and y[j] % 2 == 0:
-                j += 1
-            out.append((i, j))
-        i = j
-    return out
-
-
-def train_field(texts: list[str], gold: list[list[tuple[int, int, str]]], names: dict[str, str], epochs: tuple[int, int] = (4, 4)) -> Chain:
-    """A field from texts with noisy gold spans (start, stop, type), see the module."""
-    x, sizes, places = features(texts, Lexicon(names))
+    """(i, j) of each mention: a first label and the further ones after it."""
+    starts = np.flatnonzero((y > 0) & ((y % 2 == 1) | (np.concatenate([[0], y[:-1]]) == 0)))
+    ends = np.flatnonzero((y > 0) & np.concatenate([(y[1:] == 0) | (y[1:] % 2 == 1), [True]])) + 1
+    return list(zip(starts.tolist(), ends.tolist()))
+
+
+def train_field(texts: list[str], gold: list[list[tuple[int, int, str]]], names: dict[str, str], epochs: tuple[int, int] | None = None) -> Chain:
+    """A field from texts with noisy gold spans (start, stop, type), see the module. `epochs` of the halves and of the whole."""
+    epochs = epochs or (max(ROUNDS, min(MOST_ROUNDS, ROUNDS * TRAIN_NOTES // max(1, len(texts)))),) * 2
+    lexicon = Lexicon(names)
+    t = Tokens(texts, lexicon)
+    x, sizes = features(t, lexicon), t.sizes
     ends = np.cumsum(sizes)
-    xs = [x[e - n : e] for e, n in zip(ends, sizes)]
-    ys = [gold_labels(t, at, g) for t, at, g in zip(texts, places, gold)]
+    cut = lambda v: [v[e - n : e] for e, n in zip(ends, sizes)]
+    xs, places, signs = cut(x), cut(t.at), cut(t.signs)
+    points = pointed_words(texts, gold)
+    ys = [gold_labels(t, at, g, points) for t, at, g in zip(texts, places, gold)]
     better: dict[int, np.ndarray] = {}
     for k in (0, 1):
         mine, other = range(k, len(xs), 2), [i for i in range(1 - k, len(xs), 2) if len(xs[i])]
@@ -295,8 +333,8 @@ def train_field(texts: list[str], gold: list[list[tuple[int, int, str]]], names:
             e = f.scores(np.concatenate([xs[i] for i in part]))
             y, none, last = f.viterbi(e, n), f.marginals(e, n)[0][:, 0], np.cumsum(n)
             for i, a, b in zip(part, last - n, last):
-                found = [(s[1], s[2], s[0]) for s in spans_of(y[a:b], places[i], texts[i])]
-                mine_ = gold_labels(texts[i], places[i], found)
+                found = [(s[1], s[2], s[0]) for s in spans_of(y[a:b], places[i], signs[i], texts[i])]
+                mine_ = gold_labels(texts[i], places[i], found, points)
                 for p, q in _runs(ys[i]):  # gold that the field leaves open
                     if not mine_[p:q].any() and none[a + p : a + q].min() < 0.9:
                         mine_[p:q] = ys[i][p:q]
@@ -307,27 +345,26 @@ def train_field(texts: list[str], gold: list[list[tuple[int, int, str]]], names:
 
 @functools.lru_cache(maxsize=2)
 def _worker(model: bytes, names: tuple[tuple[str, str], ...]) -> tuple[Chain, Lexicon]:
-    return Chain.load(model), Lexicon(dict(names))
+    chain = Chain.load(model)
+    return chain, Lexicon(dict(names), chain.w)
 
 
-def mentions(texts: list[str], chain: Chain, lexicon: Lexicon, most_tokens: int = 40_000) -> list[list[tuple[str, int, int]]]:
-    """The mentions of each text, decoded in batches of texts of like length."""
+def mentions(texts: list[str], chain: Chain, lexicon: Lexicon, most_chars: int = 600_000) -> list[list[tuple[str, int, int]]]:
+    """The mentions of each text, decoded in batches of texts of like length. `lexicon` has the chain's weights."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
     lo = 0
     while lo < len(order):
         hi, chars = lo, 0
-        while hi < len(order) and (hi == lo or chars + len(texts[order[hi]]) <= 3 * most_tokens):
+        while hi < len(order) and (hi == lo or chars + len(texts[order[hi]]) <= most_chars):
             chars += len(texts[order[hi]])
             hi += 1
         part = order[lo:hi]
-        x, sizes, places = features([texts[i] for i in part], lexicon)
-        y = chain.viterbi(chain.scores(x), sizes)
-        at = 0
-        for i, n, p in zip(part, sizes, places):
-            if n:
-                out[i] = spans_of(y[at : at + n], p, texts[i])
-            at += n
+        t = Tokens([texts[i] for i in part], lexicon)
+        y = chain.viterbi(scores(t, lexicon, chain), t.sizes) if len(t.at) else np.zeros(0, np.int8)
+        ends = np.cumsum(t.sizes)
+        for i, a, b in zip(part, ends - t.sizes, ends):
+            out[i] = spans_of(y[a:b], t.at[a:b], t.signs[a:b], texts[i])
         lo = hi
     return out
 
@@ -344,7 +381,9 @@ def training_sample(notes: DataFrame, gold: DataFrame, most: int = TRAIN_NOTES)
 
 def name_kinds(name_list: DataFrame) -> dict[str, str]:
     """Lower-cased single names with their kinds, from the fixed name list."""
-    rows = name_list.where("name IS NOT NULL").groupBy(F.lower(F.trim("name")).alias("n")).agg(F.concat_ws("+", F.sort_array(F.collect_set("name_kind"))).alias("k")).collect()
+    rows = name_list.where("name IS NOT NULL").groupBy(F.lower(F.trim("name")).alias("n")).agg(F.concat_ws("+", F.sort_array(F.collect_set("name_kind"))).alias("k")).limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"a name list holds at most {MOST_NAMES} names")
     return {r["n"]: r["k"] for r in rows}
 
 
@@ -371,22 +410,24 @@ def find_personal(notes: DataFrame, model: bytes, names: dict[str, str], key: st
     spark = notes.sparkSession
     shared = spark.sparkContext.broadcast((model, tuple(sorted(names.items()))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, lexicon = _worker(*shared.value)
         for p in batches:
-            texts = [t if isinstance(t, str) else "" for t in p["_text"]]
-            found = mentions(texts, chain, lexicon)
+            texts = p.column(1).to_pylist()
+            found = mentions([t or "" for t in texts], chain, lexicon)
             if placeholder is None:
-                rows = [(k, *m) for k, ms in zip(p["_key"], found) for m in ms]
-                yield pd.DataFrame(rows, columns=["_key", "entity_type", "start", "stop"])
+                at = np.repeat(np.arange(len(texts)), [len(m) for m in found])
+                flat = [m for ms in found for m in ms]
+                cols = [pa.array([m[i] for m in flat], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([p.column(0).take(pa.array(at)), *cols], ["_key", "entity_type", "start", "stop"])
             else:
-                done = [redacted(t, ms, placeholder) if isinstance(t, str) else None for t, ms in zip(p["_text"], found)]
-                yield pd.DataFrame({"_key": p["_key"], "n_mentions": [len(m) for m in found], "redacted": done})
+                done = [None if t is None else redacted(t, ms, placeholder) for t, ms in zip(texts, found)]
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array([len(m) for m in found], pa.int32()), pa.array(done, pa.string())], ["_key", "n_mentions", "redacted"])
 
     kt = notes.schema[key].dataType.simpleString()
     schema = f"_key {kt}, entity_type string, start int, stop int" if placeholder is None else f"_key {kt}, n_mentions int, redacted string"
     d = notes.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return d.mapInPandas(run, schema).distinct().withColumnRenamed("_key", key)
+    return d.mapInArrow(run, schema).distinct().withColumnRenamed("_key", key)
 
 
 def redacted(text: str, found: list[tuple[str, int, int]], placeholder: str = "[{}]") -> str:

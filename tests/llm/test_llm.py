@@ -356,13 +356,30 @@ def test_personal_learned_and_edges(spark):
     "kind,text,span,want",
     [
         ("PHONE", "tel (716) 555-0121 x9.", (5, 18), "(716) 555-0121"),
-        ("STREET", "at 8478 Elinwell Rd. Now", (3, 19), "8478 Elinwell Rd."),
+        ("STREET", "at 8478 Elinwell Rd. Now", (3, 20), "8478 Elinwell Rd."),
         ("NAME", "Seen O'Vale's scan", (5, 13), "O'Vale"),
         ("ID", "ssn xxx-xx-5995;", (4, 10), "xxx-xx-5995"),
-        ("NAME", "on 12 May", (3, 5), None),
         ("EMAIL", "to a_b@c.test.", (5, 8), "a_b@c.test"),
     ],
 )
-def test_fitted(kind, text, span, want):
-    m = personal.fitted(kind, *span, text)
-    assert (m and text[m[1] : m[2]]) == want
+def test_snapped_gold(kind, text, span, want):
+    points = personal.pointed_words(["at 1 A Rd. Now", "b 2 Rd.", "in 3 Lane."], [[(3, 10, "STREET")], [(2, 7, "STREET")], [(3, 9, "STREET")]])
+    assert points == {"rd"}
+    a, b = personal.snapped(kind, *span, text, points)
+    assert text[a:b] == want
+
+
+def test_tokens_and_scores():
+    """Tokens and gaps against a regular expression; scores by type tables equal those of the feature rows."""
+    import re
+
+    r = np.random.default_rng(3)
+    texts = ["Dr. Müller-Öz, tel (0)17_5\u00b2.\n\nNew  line\rx", "", "  ", "a1b2 ½ “q”🦆", "one"]
+    chain = crf.Chain(personal.LABELS, personal.BITS)
+    chain.w[:] = r.normal(size=chain.w.shape).astype(np.float32)
+    lexicon = personal.Lexicon({"müller": "surname"}, chain.w)
+    t = personal.Tokens(texts, lexicon)
+    want = [[m.span() for m in re.finditer(r"[^\W\d_]+|\d+|_|[^\w\s]", x)] for x in texts]
+    assert t.sizes.tolist() == [len(w) for w in want] and [tuple(x) for x in t.at.tolist()] == [s for w in want for s in w]
+    assert np.allclose(personal.scores(t, lexicon, chain), chain.scores(personal.features(t, lexicon)), atol=1e-3)
+    assert t.gap[t.real].tolist()[:2] == [3, 0] and 2 in t.gap[t.real]
