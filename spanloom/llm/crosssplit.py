@@ -121,12 +121,17 @@ def _met(ev: DataFrame, tr: DataFrame, n: int, contained: float) -> DataFrame:
     # frequencies only rank the probes, so 31 bits of a run will do; a run that both sides have counts 1 at least
     low = F.shiftrightunsigned("run", 33).cast("int")
     often = grams.groupBy(low.alias("low")).agg(F.count("*").alias("df"))
-    segs = runs_of(ev, n).join(often, low == F.col("low"), "left").na.fill(0, ["df"])
-    ranked = segs.groupBy(F.col("_id").alias("ea")).agg(F.sort_array(F.collect_list(F.struct("df", "run"))).alias("o")).withColumn("m", F.size("o"))
+    # a probe is one number: the frequency on a scale of 1/32 of its logarithm, then 52 bits of the run
+    high = F.shiftrightunsigned("run", 12)
+    rank = F.shiftleft(F.floor(F.log2(F.coalesce("df", F.lit(0)) + 1) * 32).cast("bigint"), 52)
+    segs = runs_of(ev, n).join(often, low == F.col("low"), "left").select(F.col("_id").alias("ea"), (rank + high).alias("x"))
+    ranked = segs.groupBy("ea").agg(F.sort_array(F.collect_list("x")).alias("o")).withColumn("m", F.size("o"))
     k = F.col("m") - F.ceil(F.col("m") * contained - 1e-9)
-    first = F.slice("o", 1, (k + PROBES).cast("int"))
-    probe = ranked.select("ea", "m", F.least(F.lit(PROBES), F.col("m") - k).alias("least"), F.explode(F.filter(first, lambda x: x["df"] > 0)).alias("x")).select("ea", "m", "least", "x.run")
-    return probe.join(grams, "run").groupBy("ea", "tb", "m", "least").agg(F.count("*").alias("c")).where("c >= least").select("ea", "tb", "m")
+    first = F.filter(F.slice("o", 1, (k + PROBES).cast("int")), lambda x: x >= 1 << 52)
+    probe = ranked.select("ea", "m", F.least(F.lit(PROBES), F.col("m") - k).alias("least"), F.explode(first).alias("x"))
+    probe = probe.select("ea", "m", "least", F.col("x").bitwiseAND(F.lit((1 << 52) - 1)).alias("high"))
+    met = probe.join(grams.select("tb", high.alias("high")), "high")
+    return met.groupBy("ea", "tb", "m", "least").agg(F.count("*").alias("c")).where("c >= least").select("ea", "tb", "m")
 
 
 def split_links(df: DataFrame, key: str = "guid", text: str = "text", split: str = "split", train: str = "train", evaluation: tuple[str, ...] = ("dev", "test"), contained: float = 0.8, n: int = 5, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
