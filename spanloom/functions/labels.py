@@ -45,10 +45,24 @@ def coalesce_entity_type(entity_type: Column, annotator: Column | None = None, l
 
 
 def softmax(logits: Column) -> Column:
-    """Stable softmax of an array of scores."""
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    """Stable softmax of an array of scores. Maximum and sum are bound once, so the work is linear in the array."""
+    top = F.transform(F.array(F.struct(logits.alias("v"), F.array_max(logits).alias("top"))), lambda b: F.transform(b["v"], lambda x: F.exp(x - b["top"])))
+    return F.get(F.transform(F.transform(top, lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, y: a + y).alias("s"))), lambda b: F.transform(b["e"], lambda x: x / b["s"])), 0)
+
+
+def sigmoid(c: Column) -> Column:
+    return 1 / (1 + F.exp(-c))
+
+
+def vocabulary(scheme: str, bio: bool = False) -> list[str]:
+    """Labels in the order of their ids: O, then the harmonised labels by name; with `bio` all B- labels, then all I-."""
+    names = sorted(k for k in TAXONOMY[scheme] if k != "O")
+    return ["O", *names] if not bio else ["O", *[f"B-{n}" for n in names], *[f"I-{n}" for n in names]]
+
+
+def label_id(c: Column, scheme: str, bio: bool = False) -> Column:
+    """The id of a label of the vocabulary; null for others."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in vocabulary(scheme, bio)]), c), F.lit(0)) - 1
 
 
 def first_argmax(scores: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.operators.spans import BLOCK, in_blocks
+
 
 def char_labels(spans: DataFrame, label: str = "entity_type", keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """`keys`, i, label: the label of each covered character; of overlapping spans the last in order of start, stop and
@@ -71,7 +73,8 @@ def lower_bound_tokens(spans: DataFrame, tokens: DataFrame, key: str = "document
     after has the document's last token. `key`, entity_type, span_start, span_stop, start, stop."""
     s = spans.select(key, "entity_type", F.col("start").alias("span_start"), F.col("stop").alias("span_stop")).distinct()
     t = tokens.select(key, "start", "stop")
-    inside = s.join(t, key).where("start >= span_start AND start < span_stop")
+    b = in_blocks(s, start="span_start", stop="span_stop").join(t.withColumn("_b", F.floor(F.col("start") / BLOCK)), [key, "_b"])
+    inside = b.where("start >= span_start AND start < span_stop").drop("_b")
     last = t.groupBy(key).agg(F.max(F.struct("start", "stop")).alias("x")).select(key, "x.start", "x.stop")
     after = s.join(last, key).where("start < span_start")
     return inside.unionByName(after.select(*inside.columns))
@@ -79,14 +82,24 @@ def lower_bound_tokens(spans: DataFrame, tokens: DataFrame, key: str = "document
 
 def context_of_tokens(spans: DataFrame, tokens: DataFrame, k: int = 3, key: str = "document_id") -> DataFrame:
     """`key`, start, stop, before, after: the k tokens on either side of each span, as text joined by blanks. Tokens
-    that overlap the span belong to neither side. `tokens`: pos, start, stop, entity."""
-    s = spans.select(key, F.col("start").alias("s"), F.col("stop").alias("e")).distinct()
-    j = s.join(tokens.select(key, "pos", "start", "stop", "entity"), key)
-    edge = j.groupBy(key, "s", "e").agg(F.max(F.when(F.col("stop") <= F.col("s"), F.col("pos"))).alias("p"), F.min(F.when(F.col("start") >= F.col("e"), F.col("pos"))).alias("q"))
-    j = j.join(edge, [key, "s", "e"])
-    side = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("pos", "entity")))), lambda x: x["entity"]), " ")
-    g = j.groupBy(key, "s", "e").agg(side((F.col("pos") <= F.col("p")) & (F.col("pos") > F.col("p") - k)).alias("before"), side((F.col("pos") >= F.col("q")) & (F.col("pos") < F.col("q") + k)).alias("after"))
-    return g.select(key, F.col("s").alias("start"), F.col("e").alias("stop"), "before", "after")
+    that overlap the span belong to neither side. `tokens`: pos, start, stop, entity. Documents without tokens have no
+    rows. Tokens and spans go through one ordered window each way, so the work is linear in a document's length.
+    """
+    s = spans.select(key, F.col("start").alias("s"), F.col("stop").alias("e")).distinct().join(tokens.select(key).distinct(), key, "left_semi")
+    w = W.partitionBy(key).orderBy("pos")
+    words = lambda at: F.concat_ws(" ", *[at(i) for i in range(k - 1, -1, -1)])
+    t = tokens.select(key, "start", "stop", words(lambda i: F.lag("entity", i).over(w)).alias("back"), F.concat_ws(" ", *[F.lead("entity", i).over(w) for i in range(k)]).alias("on"))
+    none = F.lit(None).cast("string")
+
+    def nearest(at_token: str, at_span: str, text: str, sign: int, name: str) -> DataFrame:
+        row = lambda x, kind, *more: x.select(key, (sign * F.col(at_token if kind == 0 else at_span)).alias("_o"), F.lit(kind).alias("_k"), *more)
+        none_ = F.lit(None).cast("int")
+        u = row(t, 0, none_.alias("s"), none_.alias("e"), F.col(text).alias("x")).unionByName(row(s, 1, F.col("s"), F.col("e"), none.alias("x")))
+        last = F.last("x", ignorenulls=True).over(W.partitionBy(key).orderBy("_o", "_k").rowsBetween(W.unboundedPreceding, 0))
+        return u.withColumn(name, F.coalesce(last, F.lit(""))).where("_k = 1").select(key, "s", "e", name)
+
+    j = nearest("stop", "s", "back", 1, "before").join(nearest("start", "e", "on", -1, "after"), [key, "s", "e"])
+    return j.select(key, F.col("s").alias("start"), F.col("e").alias("stop"), "before", "after")
 
 
 def subwords(words: DataFrame, width: int = 4, key: str = "document_id") -> DataFrame:

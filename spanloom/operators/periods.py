@@ -26,14 +26,15 @@ def _islands(df: DataFrame, part: list[str]) -> DataFrame:
     return df.select(*part, "_a", "_b", isle.alias("_i")).groupBy(*part, "_i").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b")).drop("_i")
 
 
-def merged_periods(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", shard: int = SHARD) -> DataFrame:
+def merged_periods(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", shard: int = SHARD, write: bool = False) -> DataFrame:
     """Continuous periods per entity: columns `keys`, start, stop (bigint).
 
     Intervals are half-open; overlapping, nested and touching ones merge. Rows with a null end or stop <= start are no
     intervals and are left out. Null keys form entities of their own. Repeated rows change nothing; an empty table
     gives an empty result; extra columns are ignored. An interval over many shards is cut into its two ends and a run
     of whole shards; those runs are merged per entity before they are laid over the shards, so that the rows grow with
-    the covered range, not with the number of long intervals. Periods come as `_shard` of their start, too.
+    the covered range, not with the number of long intervals. Periods come as `_shard` of their start, too. `write` puts
+    the merged shards into the shared folder, for callers that read the periods more than once.
     """
     a, b = F.col(start).cast("bigint"), F.col(stop).cast("bigint")
     names = {f"_k{i}": F.col(k) for i, k in enumerate(keys)}
@@ -51,7 +52,8 @@ def merged_periods(df: DataFrame, keys: list[str], start: str = "start", stop: s
     runs = rows.where("_s1 > _s0 + 1").groupBy(*ks, (F.col("_s0") + 1).alias("_a")).agg(F.max("_s1").alias("_b"))
     whole = _islands(runs, ks).select(*ks, F.explode(F.sequence("_a", F.col("_b") - 1)).alias("_s"))
     whole = whole.select(*ks, "_s", (F.col("_s") * shard).alias("_a"), ((F.col("_s") + 1) * shard).alias("_b"))
-    local = written(_islands(ends.union(whole).groupBy(*ks, "_s", "_a").agg(F.max("_b").alias("_b")), [*ks, "_s"]), "islands")
+    local = _islands(ends.union(whole).groupBy(*ks, "_s", "_a").agg(F.max("_b").alias("_b")), [*ks, "_s"])
+    local = written(local, "islands") if write else local
     touches = (F.col("_a") == F.col("_s") * shard) | (F.col("_b") == (F.col("_s") + 1) * shard)
     stitched = _islands(local.where(touches).select(*ks, "_a", "_b"), ks)
     out = local.where(~touches).select(*ks, "_a", "_b").unionByName(stitched)
@@ -68,16 +70,17 @@ def _piece(s: str, a: Column, b: Column) -> Column:
 
 
 def periods_and_gaps(df: DataFrame, keys: list[str], start: str = "start", stop: str = "stop", max_gap: int | None = None, shard: int = SHARD) -> DataFrame:
-    """Periods and the gaps between consecutive periods: `keys`, kind ('period' or 'gap'), start, stop.
+    """Periods and the gaps between consecutive periods: `keys`, kind ('period' or 'gap'), start, stop (of the type of `start`).
 
     Gaps longer than `max_gap` are left out (None: none are). Within a shard the next period is the next row; over
     shards, one summary row for each (entity, shard) is enough. Edge cases as in `merged_periods`; an entity with one
     period has no gap.
     """
-    p = merged_periods(df, keys, start, stop, shard)
+    p = merged_periods(df, keys, start, stop, shard, write=True)
     nxt = F.lead("start").over(W.partitionBy(*keys, "_shard").orderBy("start"))
     fits = lambda a, b: F.lit(True) if max_gap is None else (b - a) <= max_gap
-    row = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("start"), b.cast("int").alias("stop"))
+    number = df.schema[start].dataType
+    row = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast(number).alias("start"), b.cast(number).alias("stop"))
     here = p.select(*keys, "start", "stop", nxt.alias("_n"))
     both = here.select(
         *keys,

@@ -83,6 +83,6 @@ def noise_ranking(probs: DataFrame, key: str, label: str, p: str, least: int = 5
 
 def trimmed(start: Column, stop: Column, entity: Column, signs: str = ".,;:-") -> tuple[Column, Column]:
     """Start and stop without one sign of `signs` at either end; an empty entity stays as it is."""
-    first = F.when((F.length(entity) > 0) & F.locate(F.substring(entity, 1, 1), F.lit(signs)).cast("boolean"), 1).otherwise(0)
-    last = F.when((F.length(entity) > 1) & F.locate(F.substring(entity, -1, 1), F.lit(signs)).cast("boolean"), 1).otherwise(0)
+    first = F.when((F.length(entity) > 0) & F.lit(signs).contains(F.substring(entity, 1, 1)), 1).otherwise(0)
+    last = F.when((F.length(entity) > 1) & F.lit(signs).contains(F.substring(entity, -1, 1)), 1).otherwise(0)
     return start + first, stop - last

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import labels as L
@@ -208,9 +207,11 @@ def _confusion(flags: DataFrame) -> DataFrame:
     )
 
 
-@query(_TOK + " SELECT * FROM tc")
+@query(_TOK + r" SELECT document_id, len(string_split_regex(text, '[ \t\r\n\f\v]'))::BIGINT AS n_token, phi, tp, fp, fn FROM tc JOIN notes USING (document_id)")
 def token_confusion_per_doc(spark: SparkSession, d: str) -> DataFrame:
-    return _confusion(_flags(spark, d))
+    """n_token is the number of white space signs and one, so that empty tokens count; they are never in a span."""
+    n = notes(spark, d).select("document_id", F.size(F.split("text", f"[{T.SPACE}]")).cast("bigint").alias("n_token"))
+    return _confusion(_flags(spark, d)).drop("n_token").join(n, "document_id").select("document_id", "n_token", "phi", "tp", "fp", "fn")
 
 
 _RATES = "{tp}::DOUBLE / nullif({tp} + {fn}, 0) AS se, {tp}::DOUBLE / nullif({tp} + {fp}, 0) AS ppv, (2 * {tp})::DOUBLE / nullif(2 * {tp} + {fp} + {fn}, 0) AS f1"
@@ -261,11 +262,11 @@ def label_confusion(spark: SparkSession, d: str) -> DataFrame:
     return _entities(spark, d).groupBy("model_name", "entity_type").agg(*_tpf())
 
 
-@query(BASE + _ENT + " SELECT coalesce(entity_type, 'All') AS entity_type, count_if(g AND NOT p)::BIGINT AS fn, coalesce(count_if(g AND p)::DOUBLE / nullif(count_if(g), 0), 1.0) AS se FROM x GROUP BY ROLLUP(entity_type)")
+@query(BASE + _ENT + " SELECT CASE WHEN grouping(entity_type) = 1 THEN 'All' ELSE entity_type END AS entity_type, grouping(entity_type)::INT AS is_total, count_if(g AND NOT p)::BIGINT AS fn, coalesce(count_if(g AND p)::DOUBLE / nullif(count_if(g), 0), 1.0) AS se FROM x GROUP BY ROLLUP(entity_type)")
 def fn_by_label_with_total(spark: SparkSession, d: str) -> DataFrame:
-    r = _entities(spark, d).rollup("entity_type").agg(*_tpf())
+    r = _entities(spark, d).rollup("entity_type").agg(F.grouping("entity_type").cast("int").alias("is_total"), *_tpf())
     se = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(1.0)).alias("se")
-    return r.select(F.coalesce("entity_type", F.lit("All")).alias("entity_type"), "fn", se)
+    return r.select(F.when(F.col("is_total") == 1, "All").otherwise(F.col("entity_type")).alias("entity_type"), "is_total", "fn", se)
 
 
 @query(
@@ -352,30 +353,6 @@ def softmax_argmax(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", L.first_argmax(F.col("v")).alias("label_id"), F.round(F.array_max(L.softmax(F.col("v"))), 9).alias("prob"))
 
 
-_PR = """WITH s AS (SELECT round(1 / (1 + exp(-(embedding[1]::DOUBLE * 4))), 6) AS score, (label = 1)::INT AS y FROM embeddings),
-c AS (SELECT score, sum(y)::BIGINT AS pos, count(*) AS n FROM s GROUP BY score),
-pr AS (SELECT score, (sum(pos) OVER w)::BIGINT AS tp, (sum(n - pos) OVER w)::BIGINT AS fp, (sum(pos) OVER ())::BIGINT AS n_pos FROM c WINDOW w AS (ORDER BY score DESC))"""
-
-
-def _curve(spark: SparkSession, d: str) -> DataFrame:
-    """One row per distinct score; scores are rounded, so the ordered window holds at most a million rows."""
-    s = table(spark, d, "embeddings").select(F.round(1 / (1 + F.exp(-(F.col("embedding")[0].cast("double") * 4))), 6).alias("score"), (F.col("label") == 1).cast("int").alias("y"))
-    c = s.groupBy("score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    w = W.orderBy(F.desc("score"))
-    return c.select("score", F.sum("pos").over(w).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(w).alias("fp"), F.sum("pos").over(W.partitionBy()).alias("n_pos"))
-
-
-@query(_PR + " SELECT score, tp, fp, tp::DOUBLE / (tp + fp) AS ppv, tp::DOUBLE / nullif(n_pos, 0) AS se FROM pr")
-def pr_curve(spark: SparkSession, d: str) -> DataFrame:
-    return _curve(spark, d).select("score", "tp", "fp", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("ppv"), F.try_divide("tp", "n_pos").alias("se"))
-
-
-@query(_PR + " SELECT t.target, max(score) AS score, min(tp) AS tp, min(fp) AS fp FROM pr, (SELECT unnest([0.997, 0.99, 0.9827])::DOUBLE AS target) t WHERE tp::DOUBLE / n_pos >= t.target GROUP BY t.target")
-def operating_points(spark: SparkSession, d: str) -> DataFrame:
-    t = F.explode(F.array(*[F.lit(x) for x in (0.997, 0.99, 0.9827)])).alias("target")
-    return _curve(spark, d).select("*", t).where(F.col("tp") / F.col("n_pos") >= F.col("target")).groupBy("target").agg(F.max("score").alias("score"), F.min("tp").alias("tp"), F.min("fp").alias("fp"))
-
-
 @query(
     BASE
     + """, gc AS (SELECT DISTINCT document_id, unnest(range(start, stop)) AS i FROM gold), pc AS (SELECT DISTINCT document_id, unnest(range(start, stop)) AS i FROM pred),
@@ -399,9 +376,3 @@ def notes_offset_limit(spark: SparkSession, d: str) -> DataFrame:
 def modal_label_per_doc(spark: SparkSession, d: str) -> DataFrame:
     c = pred(spark, d).groupBy("document_id", "entity_type").agg(F.count("*").alias("n"))
     return c.groupBy("document_id").agg(F.min_by(F.struct("entity_type", "n"), F.struct(-F.col("n"), "entity_type")).alias("m")).select("document_id", "m.*")
-
-
-@query()
-def redact_gold_fold(spark: SparkSession, d: str) -> DataFrame:
-    g = gold(spark, d).groupBy("document_id").agg(F.collect_set(F.struct("start", "stop")).alias("s"))
-    return notes(spark, d).join(g, "document_id").select("document_id", T.redact_spans(F.col("text"), F.col("s")).alias("redacted"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from pathlib import Path
@@ -52,15 +53,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` once into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write `df` once into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The application's folder is removed when the driver ends; `dropped` removes a table before that.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/spanloom-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/spanloom-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spanloom_path = path
     return out
 
 
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone
+        pass
+
+
 def dropped(df: DataFrame) -> None:
     """Remove a table made by `written` that no later plan reads."""
     path = getattr(df, "_spanloom_path", None)

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import labels as L
+from spanloom.operators import align as A
+from spanloom.operators import chain as C
 from spanloom.operators import spans as S
 from spanloom.operators import text as T
 from spanloom.operators.periods import periods_and_gaps, prediction_periods
@@ -90,10 +92,11 @@ def test_label_maps():
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "txt").mkdir(), (tmp_path / "ann").mkdir()
     (tmp_path / "txt" / "n1.txt").write_text(TEXT)
-    (tmp_path / "txt" / "n2.txt").write_text("nothing")
+    (tmp_path / "txt" / "n2.txt").write_text("nothing\nat all\n")
     (tmp_path / "ann" / "n1.gs").write_text('start,stop,entity,entity_type\n4,14,"John Smith",NAME\n')
     rows = {r.document_id: r for r in N.labelled_notes(spark, str(tmp_path)).collect()}
     assert rows["n1"].entity == "John Smith" and rows["n1"].length == 10 and rows["n2"].start is None
+    assert rows["n2"].text == "nothing\nat all\n" and len(rows) == 2
     a = N.read_annotations(spark, str(tmp_path / "ann"))
     assert K.brat_lines(a).first().line == "T1\tNAME 4 14\tJohn Smith"
     K.write_annotations(K.with_annotation_ids(a), str(tmp_path / "out"))
@@ -110,20 +113,154 @@ def test_streaming_redaction(spark, tmp_path):
     assert spark.table("red").first().redacted == "mail ___ now"
 
 
+def _value(v):
+    return round(v, 9) if isinstance(v, float) else v
+
+
 def test_queries_match_sql(spark):
+    """Every query of the core against its SQL, on whole tables."""
     import duckdb
 
     import __spark_entry__ as e
+    from spanloom.plans import reference
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for p in Path(d).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    for name in ("p4_found", "char_exclude", "coverage_exact_partial_missed", "token_confusion_per_doc"):
-        got = e.queries()[name](spark, d)
+    queries, sql, wrong = e.queries(), e.oracle_sql(), []
+    for name in ["p4_found", *reference.QUERIES]:
+        got = queries[name](spark, d)
         cols = sorted(got.columns)
-        want = con.execute(f"SELECT {', '.join(cols)} FROM ({e.oracle_sql()[name]})").fetchall()
-        assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want), name
+        found = con.execute(sql[name])
+        assert sorted(c[0] for c in found.description) == cols, name
+        order = [[c[0] for c in found.description].index(c) for c in cols]
+        want = [tuple(_value(r[i]) for i in order) for r in found.fetchall()]
+        rows = [tuple(map(_value, r)) for r in got.select(*[f"`{c}`" for c in cols]).collect()]
+        if sorted(rows, key=repr) != sorted(want, key=repr):
+            wrong.append(name)
+    assert not wrong
+
+
+def test_sources_read_each_file_by_its_header(spark, tmp_path):
+    for model, files in {"m1": {"a.pred": "start,stop,entity,entity_type\n4,14,\"John, Smith\",NAME\n", "b.pred": "entity_type,offset,entity,length\nDATE,3,x,5\nDATE,?,y,5\n"}, "m2": {"c.pred": "document_id,annotation_id,start,stop,entity,entity_type,comment\nq,T1,1,2,z,ID,\n", "d.pred": ""}}.items():
+        (tmp_path / model).mkdir()
+        for name, text in files.items():
+            (tmp_path / model / name).write_text(text)
+    rows = sorted(tuple(r) for r in N.read_models(spark, str(tmp_path)).select("model_name", "document_id", "start", "stop", "entity", "entity_type").na.fill(-1).collect())
+    assert rows == [("m1", "a", 4, 14, "John, Smith", "NAME"), ("m1", "b", -1, -1, "y", "DATE"), ("m1", "b", 3, 8, "x", "DATE"), ("m2", "q", 1, 2, "z", "ID")]
+    n = spark.createDataFrame([("a",), ("b",)], "document_id string")
+    assert {tuple(r) for r in N.complete_models(N.read_models(spark, str(tmp_path)), n).collect()} == {("m1", 0, 0), ("m2", 2, 1)}
+    (tmp_path / "n.tsv").write_text("token\tlabel_id\tO\tNAME\nJohn\t1\t0.25\t0.75\n")
+    r = N.csv_rows(spark, str(tmp_path / "n.tsv"), ".tsv", sep="\t").first()
+    assert r.row["token"] == "John" and r.file_stem == "n"
+    (tmp_path / "n.prob").write_text("token,label_id,O,NAME\nJohn,1,0.25,0.75\n")
+    p = N.read_probabilities(spark, str(tmp_path / "n.prob")).first()
+    assert p.probs == {"O": 0.25, "NAME": 0.75} and p.label_id == 1
+    (tmp_path / "t.csv").write_text('row_id,text\n7,"two\nlines"\n')
+    assert [tuple(x) for x in N.read_note_table(spark, str(tmp_path / "t.csv")).collect()] == [("7", "two\nlines")]
+    with pytest.raises(TypeError):
+        N.labels_from_rows(spark, [("d", "NAME", "4", 3, "x")])
+    with pytest.raises(ValueError):
+        N.labelled_notes(spark, str(tmp_path), "dve")
+    assert N.labels_from_rows(spark, [("d", "NAME", 4, 3, "x")]).first().stop == 7
+    made = []
+    for _ in range(2):
+        t = N.cached(spark, str(tmp_path / "cache"), lambda: made.append(1) or spark.range(3))
+    assert t.count() == 3 and made == [1]
+
+
+def test_sinks(spark, tmp_path):
+    notes = spark.createDataFrame([("d", TEXT)], "document_id string, text string")
+    g = spark.createDataFrame([("d", "NAME", 4, 14, None), ("d", "AGE > 89", 15, 20, "T7"), ("d", "O", 0, 2, None)], "document_id string, entity_type string, start int, stop int, annotation_id string")
+    lines = {r.line for r in K.brat_lines(S.with_entity(g, notes)).collect()}
+    assert lines == {"T7\tAGE_>_89 16 20\t03/1", "T8\tO 0 2\tDr", "T9\tNAME 4 14\tJohn Smith"}
+    assert [(r.annotation_id, r.start) for r in K.with_annotation_ids(g).collect()] == [("2", 4), ("3", 15)]
+    K.write_annotations(g, str(tmp_path / "ann"), per_document=True)
+    assert next((tmp_path / "ann" / "document_id=d").glob("*.csv")).read_text().startswith("annotation_id,start,stop")
+    K.write_metrics(spark.createDataFrame([("m", "r", 1)], "model_name string, record string, start int"), str(tmp_path / "cmp"), compared=True)
+    assert list((tmp_path / "cmp").glob("*.csv.gz"))
+    K.write_redacted_files(spark.createDataFrame([("d", "a\nb")], "document_id string, redacted string"), str(tmp_path / "red"))
+    assert next((tmp_path / "red" / "document_id=d").glob("*.txt")).read_text().rstrip("\n") == "a\nb"
+    runs = spark.createDataFrame([("d", 4, 8, "tp"), ("d", 8, 14, "fn")], "document_id string, start int, stop int, state string")
+    assert K.coloured(runs, notes).first().shown == "Dr. \x1b[92mJohn\x1b[0m\x1b[91m_Smith\x1b[0m, 03/14/10"
+    cover = spark.createDataFrame([("d", 4, 14, "partial", "4 6;9 14"), ("d", 0, 2, "exact", "")], "document_id string, start int, stop int, coverage string, uncovered string")
+    assert [r.line for r in K.brat_coverage_lines(cover, notes).collect()] == ["T1\tPARTIAL 4 6;9 14\tJo Smith"]
+    a = spark.createDataFrame([("d", 4, 8, None, "NAME", "b"), ("d", 1, 2, "ID", "ID", "same")], "document_id string, start int, stop int, type_a string, type_b string, verdict string")
+    K.write_chosen(a, str(tmp_path / "chosen"))
+    assert sum("ID" in p.read_text() for p in (tmp_path / "chosen").glob("*.csv")) == 1
+    K.write_lines(K.evaluation_lines(spark.createDataFrame([(0.5, None, 1.0)], "se double, ppv double, f1 double")), str(tmp_path / "eval"))
+    assert sorted(x for p in (tmp_path / "eval").glob("*.txt") for x in p.read_text().split("\n") if x) == ["f1 = 1.0", "ppv = null", "se = 0.5"]
+
+
+def test_fold_of_overlapping_spans(spark):
+    """A note with nested, touching, crossing and repeated spans against a plain fold from the right."""
+    note = "".join(f"Line {i}: seen by Dr. Ann Lee on 0{i}/1{i}/10, born 19{i}0, record 10{i}44.\n" for i in range(1, 9))
+    r = random.Random(2)
+    spans = sorted({(a := r.randrange(len(note) - 12), a + r.randint(1, 12)) for _ in range(30)} | {(17, 20), (20, 21), (21, 24), (34, 36), (34, 42)})
+    text, last = note, -1
+    for a, b in reversed(spans):
+        text = text[:a] + "___" + (text[b + 3 :] if b == last else text[b:])
+        last = a
+    df = spark.createDataFrame([(note, spans)], "text string, s array<struct<start: int, stop: int>>")
+    assert df.select(T.redact_spans(F.col("text"), F.col("s"))).first()[0] == text
+
+
+def test_typed_merge_over_shards(spark):
+    r = random.Random(9)
+    rows = [(r.choice(["a", None]), x := r.randint(0, 400), x + r.choice([1, 2, 5, 40])) for _ in range(200)]
+    want = []
+    for k in ("a", None):
+        prev = None
+        for a, b in sorted((a, b) for q, a, b in rows if q == k):
+            if prev is None or a - 1 > prev:
+                want.append([k, a, b, 0])
+            want[-1][2:] = [b, want[-1][3] + 1]
+            prev = b
+    df = spark.createDataFrame(rows, "k string, start int, stop int")
+    got = [[x.k, x.start, x.stop, x.n_spans] for x in S.merge_typed(df, ["k"], 1, shard=32).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    x = spark.createDataFrame([("d", "N", 4, 8, "John"), ("d", "N", 9, 14, "Smith"), ("d", "N", 20, 21, "x")], "document_id string, entity_type string, start int, stop int, entity string")
+    assert sorted((r.start, r.stop, r.entity) for r in S.merged_entity(x, ["document_id", "entity_type"], 1).collect()) == [(4, 14, "John?Smith"), (20, 21, "x")]
+
+
+def test_token_parts_and_modes(spark):
+    """Ids none, none, 3, 3, 1 in one token: cut where they rise, not where they fall."""
+    s = "document_id string, entity_type string, start int, stop int"
+    tokens = spark.createDataFrame([("d", 0, 5), ("d", 6, 8)], "document_id string, start int, stop int")
+    chars = A.char_labels(spark.createDataFrame([("d", "3", 2, 4), ("d", "1", 4, 5)], s))
+    assert sorted((r.start, r.stop) for r in A.token_parts(tokens, chars, F.col("label")).collect()) == [(0, 2), (2, 5)]
+    got = {(r.start, r.stop): (r.truth, r.pred) for r in A.aligned_tokens(tokens, chars, A.char_labels(spark.createDataFrame([("d", "9", 3, 4), ("d", "7", 6, 8), ("d", "7", 6, 8)], s)), F.col("label")).collect()}
+    assert got == {(2, 5): ("3", "9"), (6, 8): (None, "7")}
+    late = A.lower_bound_tokens(spark.createDataFrame([("d", "X", 1, 7), ("d", "Y", 7, 9)], s), tokens)
+    assert sorted((r.entity_type, r.start) for r in late.collect()) == [("X", 6), ("Y", 6)]
+    none = tokens.limit(0)
+    assert A.token_parts(none, chars, F.col("label")).count() == 0 and A.context_of_tokens(spark.createDataFrame([], s), none.withColumn("pos", F.lit(1)).withColumn("entity", F.lit(""))).count() == 0
+
+
+def test_chain_against_enumeration(spark):
+    import itertools
+    import math
+
+    r = random.Random(4)
+    n, t = 3, [[r.uniform(-1, 1) for _ in range(3)] for _ in range(3)]
+    st, en = [r.uniform(-1, 1) for _ in range(3)], [r.uniform(-1, 1) for _ in range(3)]
+    rows = [([[r.uniform(-1, 1) for _ in range(n)] for _ in range(k)], [r.randrange(n) for _ in range(k)]) for k in (1, 2, 4)] + [([], []), (None, None)]
+    df = spark.createDataFrame(rows, "e array<array<double>>, y array<int>")
+    got = df.select(C.viterbi(F.col("e"), t, st, en).alias("v"), C.log_likelihood(F.col("e"), F.col("y"), t, st, en).alias("l"), F.size("e").alias("k")).collect()
+    for (e, y), x in zip(rows, got):
+        if not e:
+            assert x.v is None and x.l is None
+            continue
+        score = {p: st[p[0]] + en[p[-1]] + sum(e[i][k] for i, k in enumerate(p)) + sum(t[a][b] for a, b in zip(p, p[1:])) for p in itertools.product(range(n), repeat=len(e))}
+        best = max(score, key=score.get)
+        assert tuple(x.v.path) == best and abs(x.v.score - score[best]) < 1e-9
+        assert abs(x.l - (score[tuple(y)] - math.log(sum(map(math.exp, score.values()))))) < 1e-9
+    flat = df.select(C.log_likelihood(F.col("e"), F.col("y"), t, st, en).alias("l"), F.size("e").alias("k")).where("k > 0")
+    total, mean, per = (C.reduced(flat, "l", "k", h).first()[0] for h in ("sum", "mean", "token_mean"))
+    assert abs(total / 3 - mean) < 1e-9 and abs(total / 7 - per) < 1e-9
+    with pytest.raises(ValueError):
+        C.viterbi(F.col("e"), t, st[:2], en)
 
 
 def test_state_runs(spark):
@@ -142,3 +279,50 @@ def test_state_runs(spark):
                 want.add((d, i, stop, state))
     got = S.state_runs(*[spark.createDataFrame(x, "document_id string, start int, stop int") for x in sides]).select("document_id", "start", "stop", "state").collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from spanloom.__main__ import main
+
+    for sub, name, text in (("txt", "n1.txt", TEXT), ("txt", "n2.txt", "mail a@b.test now"), ("ann", "n1.gs", "start,stop,entity,entity_type\n4,14,John Smith,NAME\n"), ("pred", "n1.pred", "start,stop,entity,entity_type\n9,14,Smith,NAME\n16,24,03/14/10,DATE\n")):
+        (tmp_path / sub).mkdir(exist_ok=True)
+        (tmp_path / sub / name).write_text(text)
+    at = {k: str(tmp_path / k) for k in ("txt", "ann", "pred", "out", "cmp", "com")}
+    assert main(["redact", "--text", "mail a@b.test now", "--repl", "#"], spark) == 0 and capsys.readouterr().out == "mail # now\n"
+    assert main(["redact", "--text_dir", at["txt"], "--pred_dir", at["pred"]], spark) == 0
+    assert capsys.readouterr().out == "Dr. John ___, ___\nmail a@b.test now\n"
+    assert main(["evaluate", "--text_dir", at["txt"], "--gold_dir", at["ann"], "--pred_dir", at["pred"], "--out", at["out"]], spark) == 0
+    assert capsys.readouterr().out.split("\n")[:2] == ["se = 0.5", "ppv = 0.5"]
+    assert main(["compare", "--text_dir", at["txt"], "--gold_dir", at["ann"], "--pred_dir", at["pred"], "--out", at["cmp"]], spark) == 0
+    assert main(["combine", "--text_dir", at["txt"], "--pred_dir", at["pred"], "--out", at["com"]], spark) == 0
+    assert any("a@b.test" in p.read_text() for p in (tmp_path / "com").glob("*.csv"))
+    with pytest.raises(SystemExit):
+        main(["redact", "--text", "a", "--text_dir", "b"], spark)
+
+
+def test_annotators(spark):
+    from spanloom.operators import annotators as X
+
+    notes = spark.createDataFrame([("d", "mail a@b.test"), ("e", None), ("f", "")], "document_id string, text string")
+    load = lambda: lambda texts: [[(0.9, "NAME", 0, 4), (0.8, "O", 1, 2), (0.7, "ID", 90, 3), (0.6, "ID", 0, 0)] if t else [] for t in texts]
+    got = [tuple(r) for r in X.model_annotator(load, 2)(notes).collect()]
+    assert got == [("d", 0, 4, "NAME", "mail", 0.9)]
+    X.ANNOTATORS.pop("own", None)
+    X.register("own", X.model_annotator(load))
+    assert {tuple(r) for r in X.annotate(notes, "own", "email").select("start", "annotator").collect()} == {(0, "own"), (5, "email")}
+    assert X.annotate(notes).count() == 2
+    with pytest.raises(ValueError):
+        X.register("own", X.ANNOTATORS["email"])
+    with pytest.raises(ValueError):
+        X.annotate(notes, "none")
+    X.ANNOTATORS.pop("own")
+
+
+def test_tokenizers(spark):
+    df = spark.createDataFrame([("d", "a  b \tü1")], "document_id string, text string")
+    got = {h: [(r.start, r.stop, r.entity) for r in T.tokenized(df, h).orderBy("pos").collect()] for h in ("split", "space", "char", "word")}
+    assert got["split"] == [(0, 1, "a"), (1, 1, ""), (3, 4, "b"), (4, 4, ""), (6, 8, "ü1")]
+    assert got["space"] == got["word"] == [(0, 1, "a"), (3, 4, "b"), (6, 8, "ü1")] and got["char"][-1] == (7, 8, "1")
+    with pytest.raises(ValueError):
+        T.tokenized(df, "none")
+    assert K.token_lines(T.tokenized(df, "space")).first().line == "0\t0\t1\ta"
