@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.hashing import flat
-from spanloom.llm.triples import distinct_sets, runs_of, shared_runs, with_words
+from spanloom.llm.triples import classes, runs_of, shared_runs, with_words
 from spanloom.session import written
 
 #: The band of the dynamic programme on either side of the diagonal is this share of the evaluation note's words, at least MIN_BAND.
@@ -139,31 +139,29 @@ def split_links(df: DataFrame, key: str = "guid", text: str = "text", split: str
 
     Links: ea, tb, edits: a class of evaluation notes whose distinct runs of `n` words are, by at least the share
     `contained`, runs of the class tb of training notes. edits: word edits that turn a note of ea into a stretch of one
-    of tb along a band; -1 where no path lies in the band. Members: _key, _id, _train, _eval: notes of one run set are
-    one class, which may have notes of both sides.
+    of tb along a band; -1 where no path lies in the band. Members: _key, _id, _train: notes of one side and run set are one
+    class.
 
     Evaluation notes under `least_words` words or without a run, null keys, null texts and other splits are left out;
     repeated rows count once. Other columns are ignored; empty tables give no rows. No candidate is dropped.
     """
     d = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"), clean_split(F.col(split)).alias("_split"))
     d = d.where(F.col("_split").isin(train, *evaluation)).select("_key", "_text", (F.col("_split") == train).alias("_train"))
-    tok = written(with_words(d, ["_key", "_train"], "_text", n), "words")
-    fits = ~F.col("_train") & (F.col("_n_words") >= least_words)
-    sets = written(distinct_sets(tok, _train=F.col("_train"), _eval=fits), "sets")
-    ev, tr = sets.where("_eval"), sets.where("_train")
+    least = F.when(F.col("_train"), 0).otherwise(least_words)
+    sets, members = classes(with_words(d, ["_key", "_train"], "_text", n, least, ("_train",)), "_train")
+    ev, tr = sets.where("NOT _train"), sets.where("_train")
     met = _met(ev, tr, n, contained)
     words = lambda s, name: s.select(F.col("_id").alias(name), F.col("_w").alias(f"w{name}"))
     both = met.join(words(ev, "ea"), "ea").join(words(tr, "tb"), "tb").select("ea", "tb", "wea", "wtb", "m")
     links = written(both.mapInArrow(lambda it: _verdicts(it, n, contained), "ea bigint, tb bigint, edits int"), "links")
-    members = tok.select("_key", "_train", fits.alias("_eval"), "_d1", "_d2").distinct().join(sets.select("_d1", "_d2", "_id"), ["_d1", "_d2"])
-    return links, members.select("_key", "_id", "_train", "_eval")
+    return links, members.select("_key", "_id", "_train").distinct()
 
 
 def split_overlaps(df: DataFrame, **how: object) -> DataFrame:
     """One row per (evaluation key, training key): eval_key, train_key, edits. Arguments and edge cases as in
     `split_links`; a key may be on both sides, but no key is paired with itself."""
     links, members = split_links(df, **how)
-    e = members.where("_eval").select(F.col("_id").alias("ea"), F.col("_key").alias("eval_key")).distinct()
+    e = members.where("NOT _train").select(F.col("_id").alias("ea"), F.col("_key").alias("eval_key")).distinct()
     t = members.where("_train").select(F.col("_id").alias("tb"), F.col("_key").alias("train_key")).distinct()
     return links.join(e, "ea").join(t, "tb").where("eval_key <> train_key").select("eval_key", "train_key", "edits")
 
@@ -173,7 +171,7 @@ def overlap_counts(df: DataFrame, **how: object) -> DataFrame:
     training note has all its words in order). Counted by class, without the pairs. Arguments as in `split_links`.
     """
     links, members = split_links(df, **how)
-    e = members.where("_eval").select(F.col("_id").alias("ea"), F.col("_key").alias("eval_key")).distinct()
+    e = members.where("NOT _train").select(F.col("_id").alias("ea"), F.col("_key").alias("eval_key")).distinct()
     t = members.where("_train").select(F.col("_id").alias("tb"), F.col("_key").alias("train_key")).distinct()
     n = links.join(t.groupBy("tb").agg(F.count("*").alias("c")), "tb").groupBy("ea").agg(F.sum("c").alias("c"), F.max((F.col("edits") == 0).cast("int")).alias("same"))
     # a key that is on both sides isn't its own link

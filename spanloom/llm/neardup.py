@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.components import connected_components
 from spanloom.llm.hashing import flat, run_hashes
-from spanloom.llm.triples import distinct_sets, runs_of, shared_runs, with_words
+from spanloom.llm.triples import classes, runs_of, shared_runs, with_words
 from spanloom.session import dropped, written
 
 BANDS, ROWS, SEED = 27, 3, 20240229
@@ -110,14 +110,12 @@ def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text",
     Notes with at least `least_words` words and one run of `n` words are linked if the Jaccard similarity of their run
     sets is at least `similarity`; group_id is equal exactly for notes connected by links. Other notes (null, empty or
     short texts) are groups of their own, whose id is made of the key. Rows with a null key are left out. Repeated
-    rows of a key and text count once; a key with several texts is in the group of each text, as one row for each.
+    rows of a key and text count once; a key with several texts is in the group of each text that is long enough, as one row for each.
     Other columns are ignored; an empty table gives an empty result. Links are found with the probability
     `recall_at(similarity)` at the threshold, more above it; every link reported is exact.
     """
     d = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    members = written(with_words(d, ["_key"], "_text", n), "words")
-    fit = (F.col("_n_words") >= least_words) & (F.col("_n") > 0)
-    sets = written(distinct_sets(members, _fit=fit).where("_fit"), "sets")
+    sets, members = classes(with_words(d, ["_key"], "_text", n, F.lit(least_words)))
     h = sets.select("_id", "_n", "_w").mapInArrow(lambda it: _bands(it, n, bands, rows), "h bigint, id bigint, n int")
     h = written(h, "bands")
     shared = h.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("_hi")).where("rep < _hi").select("h", "rep")
@@ -143,12 +141,11 @@ def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text",
     roots = roots.join(part, roots.b == part.node, "left").select("a", F.coalesce("root", "b").alias("b"))
     top = connected_components(roots)
     up = part.join(top, part.root == top.node, "left").select(part.node, F.coalesce(top.root, part.root).alias("root"))
-    alone = top.join(part, top.node == part.node, "left_anti").select("node", "root")
-    group = up.union(alone)
-    of = sets.select("_d1", "_d2", F.col("_id").alias("node")).join(group, "node", "left").select("_d1", "_d2", F.coalesce("root", "node").alias("root"))
-    mine = members.select("_key", fit.alias("_fit"), "_d1", "_d2").distinct()
-    own = mine.where("not _fit").select(F.col("_key").alias(key), F.concat(F.lit("own "), F.col("_key").cast("string")).alias("group_id"))
-    return mine.where("_fit").join(of, ["_d1", "_d2"]).select(F.col("_key").alias(key), F.col("root").cast("string").alias("group_id")).union(own).distinct()
+    new = top.join(part, top.node == part.node, "left_anti").select("node", "root")
+    group = up.union(new)
+    mine = members.select("_key", F.col("_id").alias("node")).join(group, "node", "left").select(F.col("_key").alias(key), F.coalesce("root", "node").cast("string").alias("group_id")).distinct()
+    alone = d.select(F.col("_key").alias(key)).distinct().join(members.select(F.col("_key").alias(key)), key, "left_anti")
+    return mine.union(alone.select(key, F.concat(F.lit("own "), F.col(key).cast("string")).alias("group_id")))
 
 
 def group_pairs(groups: DataFrame, key: str = "guid") -> DataFrame:

@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.hashing import digests, flat, lists, run_hashes, word_hashes
+from spanloom.session import written
 
 #: Run sets of which a task remembers that it has given their words already.
 REMEMBERED = 200_000
 
 
-def with_words(df: DataFrame, keep: list[str], text: str = "text", n: int = 3) -> DataFrame:
-    """Columns `keep`, `_n_words`, `_n` (distinct runs of `n` words), `_d1` and `_d2` (a 128-bit digest of the run set)
-    and `_w` (the hashes of the words in order; empty for a run set that the task has met before).
+def with_words(df: DataFrame, keep: list[str], text: str = "text", n: int = 3, least: Column | None = None, apart: tuple[str, ...] = ()) -> DataFrame:
+    """Columns `keep`, `_fit` (the text has at least `least` words and a run), `_n` (distinct runs of `n` words), `_d1` and
+    `_d2` (a 128-bit digest of the run set), `_first` and `_w` (the hashes of the words in order). `_first` is true, and
+    `_w` is given, only for fit texts whose run set the task has not met before under the same values of `apart`.
 
     Null texts have no words. Two of m different runs share a 64-bit hash with a probability of about m * m / 2**65.
     """
@@ -25,34 +27,41 @@ def with_words(df: DataFrame, keep: list[str], text: str = "text", n: int = 3) -
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 p = b.slice(lo, 2000)
                 w, sizes = word_hashes([t or "" for t in p.column(len(keep)).to_pylist()])
                 r, of = run_hashes(w, sizes, n)
+                fit = (of > 0) & (sizes >= p.column(len(keep) + 1).to_numpy())
                 d = digests(r, of)
-                new = np.zeros(len(sizes), bool)
-                for i, k in enumerate(map(tuple, d.tolist())):
-                    if k not in seen:
+                first = np.zeros(len(sizes), bool)
+                sides = zip(*[p.column(keep.index(c)).to_pylist() for c in apart]) if apart else [()] * len(sizes)
+                for i, k in enumerate(zip(*d.T.tolist(), sides)):
+                    if fit[i] and k not in seen:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(k)
-                        new[i] = True
-                w = w[np.repeat(new, sizes)].view(np.int64)
-                cols = [p.column(i) for i in range(len(keep))] + [pa.array(sizes, pa.int32()), pa.array(of, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(w, np.where(new, sizes, 0))]
-                yield pa.RecordBatch.from_arrays(cols, [*keep, "_n_words", "_n", "_d1", "_d2", "_w"])
+                        first[i] = True
+                w = w[np.repeat(first, sizes)].view(np.int64)
+                cols = [pa.array(fit), pa.array(of, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(first), lists(w, np.where(first, sizes, 0))]
+                yield pa.RecordBatch.from_arrays([*[p.column(i) for i in range(len(keep))], *cols], [*keep, "_fit", "_n", "_d1", "_d2", "_first", "_w"])
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, _n_words int, _n int, _d1 bigint, _d2 bigint, _w array<bigint>")
+    least = F.lit(0) if least is None else least
+    return df.select(*keep, F.col(text).alias("_text"), least.cast("int").alias("_least")).mapInArrow(run, f"{schema}, _fit boolean, _n int, _d1 bigint, _d2 bigint, _first boolean, _w array<bigint>")
 
 
-def distinct_sets(words: DataFrame, **flags: Column) -> DataFrame:
-    """One row per distinct run set: _id (bigint), _n, _d1, _d2, _w and whether any of its notes has each of `flags`.
-
-    To be written once, since the ids are numbers of rows. All rows of `with_words` must be given, whatever their flags.
+def classes(words: DataFrame, *apart: str) -> tuple[DataFrame, DataFrame]:
+    """Of `with_words`, the classes of fit texts of one run set (and values of `apart`): sets (_id, `apart`, _n, _w), one
+    row each, and members (all columns but `_w`, and _id). Only digests are shuffled: the words stay in place, but where
+    many tasks have met one set.
     """
-    g = words.where("_n > 0").groupBy("_d1", "_d2").agg(F.max("_n").alias("_n"), F.max("_w").alias("_w"), *[F.max(c).alias(k) for k, c in flags.items()])
-    return g.select(F.monotonically_increasing_id().alias("_id"), "_n", "_d1", "_d2", "_w", *flags)
+    t = written(words.withColumn("_row", F.monotonically_increasing_id()), "words")
+    by = [*apart, "_d1", "_d2"]
+    ids = written(t.where("_first").groupBy(*by).agg(F.min("_row").alias("_id")), "classes")
+    again = written(t.where("_first").select(*by, "_row").join(ids, by).where("_row <> _id").select("_row"), "again")
+    sets = t.where("_first").join(again, "_row", "left_anti").select(F.col("_row").alias("_id"), *apart, "_n", "_w")
+    return sets, t.where("_fit").drop("_w", "_first", "_row").join(ids, by)
 
 
 def runs_of(sets: DataFrame, n: int) -> DataFrame:
