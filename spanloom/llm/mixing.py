@@ -15,7 +15,8 @@ from spanloom.llm.pieces import clean_name
 
 
 def mix_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix_name and source: target_share, max_repeats, source_docs, source_tokens, rate.
+    """Per mix_name and source: target_share, max_repeats, source_docs, source_tokens, rate, binds (the source whose tokens
+    and repeats limit the size of the whole mix).
 
     Source names are compared in lower case, without outer blanks, with _ for -. Repeated targets of a source add up,
     their least max_repeats holds. A source without documents, tokens, positive share or repeats has rate 0, and the
@@ -29,8 +30,9 @@ def mix_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     w = W.partitionBy("mix_name")
     j = j.withColumn("_share", F.when(can, F.col("target_share") / F.sum(F.when(can, F.col("target_share"))).over(w)))
     j = j.withColumn("_total", F.min(F.when(can, F.col("max_repeats") * F.col("source_tokens") / F.col("_share"))).over(w))
+    binds = F.coalesce(can & (F.col("max_repeats") * F.col("source_tokens") / F.col("_share") <= F.col("_total")), F.lit(False))
     rate = F.when(can, F.least(F.col("max_repeats").cast("double"), F.col("_total") * F.col("_share") / F.col("source_tokens"))).otherwise(F.lit(0.0))
-    return j.select("mix_name", "source", "target_share", "max_repeats", "source_docs", "source_tokens", rate.alias("rate"))
+    return j.select("mix_name", "source", "target_share", "max_repeats", "source_docs", "source_tokens", rate.alias("rate"), binds.alias("binds"))
 
 
 def mix_documents(sizes: DataFrame, rates: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFrame:

@@ -126,30 +126,45 @@ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 )
 
 
+_P3_LINKS = (
+    "WITH "
+    + _NOTES
+    + """,
+pr AS (SELECT e.guid AS eg, t.guid AS tg FROM s e JOIN s t ON e.run = t.run AND t.side = 'train' JOIN n ON n.guid = e.guid
+WHERE e.side = 'eval' AND e.n_words >= 60 GROUP BY e.guid, t.guid, n.n HAVING count(*)::DOUBLE / n.n >= 0.8)"""
+)
+
+_P8_SPANS = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+g AS (SELECT doc_id, p, substring(text, p, 200) AS x FROM d, LATERAL (SELECT unnest(range(1, length(text) - 198)) AS p)),
+h AS (SELECT x FROM g GROUP BY x HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT DISTINCT doc_id, p - 1 AS a FROM g JOIN h USING (x)),
+f AS (SELECT doc_id, a, CASE WHEN lag(a) OVER (PARTITION BY doc_id ORDER BY a) >= a - 200 THEN 0 ELSE 1 END AS first FROM m),
+i AS (SELECT doc_id, a, sum(first) OVER (PARTITION BY doc_id ORDER BY a) AS i FROM f),
+sp AS (SELECT doc_id, min(a)::INT AS start, (max(a) + 200)::INT AS stop FROM i GROUP BY doc_id, i)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2_LINKS + "SELECT DISTINCT a AS guid_a, b AS guid_b FROM r WHERE a < b",
         "p2_groups": _P2_LINKS
         + """, g AS (SELECT guid, least(guid, coalesce(min(b), guid)) AS group_guid FROM (SELECT DISTINCT guid FROM notes) q LEFT JOIN r ON r.a = q.guid GROUP BY guid)
 SELECT guid, group_guid, count(*) OVER (PARTITION BY group_guid) AS group_size FROM g""",
-        "p3_found": "WITH "
-        + _NOTES
-        + """
-SELECT DISTINCT least(e.guid, t.guid) AS guid_a, greatest(e.guid, t.guid) AS guid_b
-FROM s e JOIN s t ON e.run = t.run AND t.side = 'train' JOIN n ON n.guid = e.guid
-WHERE e.side = 'eval' AND e.n_words >= 60 GROUP BY e.guid, t.guid, n.n HAVING count(*)::DOUBLE / n.n >= 0.8""",
+        "p3_found": _P3_LINKS + " SELECT DISTINCT least(eg, tg) AS guid_a, greatest(eg, tg) AS guid_b FROM pr",
+        "p3_report": _P3_LINKS
+        + r""", x AS (SELECT guid, ' ' || array_to_string(w, ' ') || ' ' AS x FROM w),
+per AS (SELECT eg, count(DISTINCT tg) AS p, max(CASE WHEN contains(t.x, e.x) THEN 1 ELSE 0 END) AS same FROM pr JOIN x e ON e.guid = eg JOIN x t ON t.guid = tg WHERE eg <> tg GROUP BY eg),
+b AS (SELECT guid, replace(min(replace(lower(regexp_replace(split, '^\s+|\s+$', '', 'g')), '-', '_')), 'val', 'dev') AS split, min(replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '-', '_')) AS source FROM input_examples WHERE guid IS NOT NULL GROUP BY guid)
+SELECT split, source, count(*) AS n_notes, count(p) AS n_overlapping, sum(coalesce(same, 0))::BIGINT AS n_unchanged, sum(coalesce(p, 0))::BIGINT AS n_pairs FROM b LEFT JOIN per ON eg = guid WHERE split IN ('dev', 'test') GROUP BY 1, 2""",
         "p5_found": r"""
 WITH c AS (SELECT data_type, min(max_seq_length) AS most, min(sequence_length) AS seq FROM run_configs GROUP BY data_type),
 d AS (SELECT DISTINCT guid, text, most, seq FROM input_examples JOIN c ON c.data_type = replace(lower(trim(input_examples.data_type)), '-', '_')),
 t AS (SELECT guid, most, seq, len(regexp_extract_all(text, '[^ \t\r\n\x{00a0}]+')) AS n,
         list_max(list_transform(string_split_regex(regexp_replace(text, '[.!?;]([ \t\x{00a0}])', chr(1), 'g'), '[\r\n' || chr(1) || ']+'), lambda x: len(regexp_extract_all(x, '[^ \t\x{00a0}]+')))) AS run FROM d)
 SELECT DISTINCT guid, unnest(CASE WHEN run > seq THEN ['oversized', 'unbroken'] ELSE ['oversized'] END) AS kind FROM t WHERE n > most""",
-        "p8_found": """
-WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
-g AS (SELECT doc_id, p, substring(text, p, 200) AS x FROM d, LATERAL (SELECT unnest(range(1, length(text) - 198)) AS p)),
-h AS (SELECT x FROM g GROUP BY x HAVING count(DISTINCT doc_id) > 1),
-m AS (SELECT DISTINCT doc_id, p - 1 AS a FROM g JOIN h USING (x)),
-f AS (SELECT doc_id, a, CASE WHEN lag(a) OVER (PARTITION BY doc_id ORDER BY a) >= a - 200 THEN 0 ELSE 1 END AS first FROM m),
-i AS (SELECT doc_id, a, sum(first) OVER (PARTITION BY doc_id ORDER BY a) AS i FROM f)
-SELECT doc_id, min(a)::INT AS start, (max(a) + 200)::INT AS stop FROM i GROUP BY doc_id, i""",
+        "p8_found": _P8_SPANS + " SELECT doc_id, start, stop FROM sp",
+        "p8_report": _P8_SPANS
+        + """, t AS (SELECT doc_id, count(*) AS n_spans, sum(stop - start)::BIGINT AS shared_chars FROM sp GROUP BY 1)
+SELECT c.doc_id, c.n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars, coalesce(shared_chars / nullif(c.n_chars, 0), 0.0)::DOUBLE AS shared_part
+FROM (SELECT doc_id, max(coalesce(length(text), 0))::BIGINT AS n_chars FROM documents WHERE doc_id IS NOT NULL GROUP BY 1) c LEFT JOIN t USING (doc_id)""",
     }
