@@ -24,7 +24,7 @@ def standoff(scored: DataFrame, names: list[str], ignore: str = "O", key: str =
     return p.where(F.col("label") != ignore)
 
 
-def combined(model: DataFrame, rules: DataFrame, features: dict[str, str], key: str = "document_id") -> DataFrame:
+def combined(model: DataFrame, rules: DataFrame, features: dict[str, str] = L.FEATURE_LABELS, key: str = "document_id") -> DataFrame:
     """`key`, feature, label, start, stop: per rule feature the union of the rule's spans and the model's spans of the
     label that the feature stands for, merged where they overlap or touch; model spans of other labels stay as they are,
     with a null feature. Features of one label each repeat the model's spans of it.

@@ -326,3 +326,39 @@ def test_tokenizers(spark):
     with pytest.raises(ValueError):
         T.tokenized(df, "none")
     assert K.token_lines(T.tokenized(df, "space")).first().line == "0\t0\t1\ta"
+
+
+def test_combined_repeats_the_models_spans_per_feature(spark):
+    from spanloom.operators import predictions as P
+
+    m = spark.createDataFrame([("d", "ID", 0, 4), ("d", "LOCATION", 9, 12), ("d", "X", 1, 2), ("d", "X", 1, 2)], "document_id string, label string, start int, stop int")
+    r = spark.createDataFrame([("d", "mrn", 4, 6), ("d", "ssn", 8, 9), ("d", "none", 1, 2)], "document_id string, feature string, start int, stop int")
+    got = {tuple(x) for x in P.combined(m, r).select("feature", "label", "start", "stop").collect()}
+    ids = {(f, "ID", 0, 4) for f in ("idnum", "pager", "ssn", "unit")}
+    assert got == ids | {("mrn", "ID", 0, 6), ("ssn", "ID", 8, 9), ("location", "LOCATION", 9, 12), (None, "X", 1, 2)}
+    assert P.combined(m.limit(0), r.limit(0)).count() == 0
+
+
+def test_standoff_edges(spark):
+    """The last window holds, also where it says none; special and unscored sub-words make no prediction."""
+    from spanloom.operators import predictions as P
+
+    s = "document_id string, segment int, start int, stop int, word_length int, is_sub boolean, special boolean, logits array<double>"
+    rows = [("d", 0, 0, 4, 7, False, False, [0.0, 2.0]), ("d", 1, 0, 4, 7, False, False, [3.0, 2.0]), ("d", 0, 4, 7, 3, True, False, [0.0, 0.0]), ("d", 0, 9, 9, 0, False, True, [0.0, 9.0]), ("d", 0, 10, 12, 5, False, False, [0.0, 1.0]), ("d", 0, 12, 15, 3, True, False, [0.0, 1.0]), ("d", 0, 20, 21, 1, False, False, None)]
+    got = sorted((r.start, r.length, r.label, round(r.prob, 6)) for r in P.standoff(spark.createDataFrame(rows, s), ["O", "ID"]).collect())
+    assert got == [(10, 5, "ID", 0.731059), (12, 3, "ID", 0.731059)]
+    assert P.standoff(spark.createDataFrame([], s), ["O", "ID"]).count() == 0
+
+
+def test_running_sums_and_noise_edges(spark):
+    from spanloom.operators import predictions as P
+
+    r = random.Random(8)
+    rows = sorted({round(r.random(), 3) for _ in range(400)})
+    df = spark.createDataFrame([(x, 1, i) for i, x in enumerate(rows)], "score double, a int, b int")
+    got = {x.score: (x.a, x.b, x.all_a) for x in P.running_by_score(df, "score", ["a", "b"], buckets=16).collect()}
+    assert got == {x: (len(rows) - i, sum(range(i, len(rows))), len(rows)) for i, x in enumerate(rows)}
+    assert P.running_by_score(df.limit(0), "score", ["a"]).count() == 0
+    p = spark.createDataFrame([(i, 0, [0.9, 0.1]) for i in range(6)] + [(10 + i, 1, [0.2, 0.8]) for i in range(6)] + [(20, 0, [0.05, 0.95]), (21, 2, [0.5, 0.5])], "id int, y int, p array<double>")
+    assert [(x.id, x.suggested) for x in P.noise_ranking(p, "id", "y", "p").collect()] == [(20, 1)]
+    assert P.noise_ranking(p.limit(0), "id", "y", "p").count() == 0
