@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import functools
+import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.operators.periods import clean_document_id, clean_entity_type, merged_periods
+from spanloom.operators.text import SPACE, TOKEN
 
 
 def clean_spans(df: DataFrame, *more: str) -> DataFrame:
@@ -130,6 +135,46 @@ def token_flags(tokens: DataFrame, gold: DataFrame, pred: DataFrame, block: int
     return j.groupBy("document_id", "start", "stop", "entity").agg(hit("g").alias("in_gold"), hit("q").alias("in_pred"))
 
 
+def flagged_tokens(notes: DataFrame, gold: DataFrame, pred: DataFrame, pattern: str = TOKEN) -> DataFrame:
+    """document_id, start, stop, entity, in_gold, in_pred, n_split: the tokens of notes with gold as in `token_flags`, and
+    the number of tokens that single white space signs split the note into.
+
+    The merged spans of a note, disjoint and so bounded by its length, come to it as two sorted lists, and its tokens
+    are looked up in them; only notes and spans are shuffled, no tokens. Notes without tokens have no rows.
+    """
+    rx, space = re.compile(pattern), re.compile(f"[{SPACE}]")
+    ids = gold.select("document_id").distinct()
+    side = lambda x, n: merge_union(x, ["document_id"]).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(n))
+    none = F.array().cast("array<struct<start: int, stop: int>>")
+    d = notes.where("text IS NOT NULL").join(side(gold, "g"), "document_id").join(side(pred.join(ids, "document_id", "left_semi"), "q"), "document_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            found = [rx.findall(t) for t in texts]
+            n = np.array([len(x) for x in found], np.int64)
+            stop = np.array([m.end() for t in texts for m in rx.finditer(t)], np.int64)
+            words = [w for x in found for w in x]
+            start = stop - np.fromiter(map(len, words), np.int64, len(words))
+            row = np.repeat(np.arange(len(texts)), n)
+            far = np.int64(1) << 32
+            flags = []
+            for c in (b.column(2), b.column(3)):
+                ends = c.offsets.to_numpy()
+                x = c.flatten()
+                own = np.repeat(np.arange(len(texts)), np.diff(ends)) * far
+                lo, hi = (own + x.field(k).to_numpy() for k in ("start", "stop"))
+                i = np.searchsorted(hi, row * far + start, side="right")
+                hit = i < len(lo)
+                hit[hit] = lo[i[hit]] < (row * far + stop)[hit]
+                flags.append(pa.array(hit))
+            split = pa.array(np.array([len(space.findall(t)) + 1 for t in texts], np.int64)[row])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(words, pa.string()), *flags, split], ["document_id", "start", "stop", "entity", "in_gold", "in_pred", "n_split"])
+
+    kt = notes.schema["document_id"].dataType.simpleString()
+    return d.select("document_id", "text", "g", F.coalesce("q", none).alias("q")).mapInArrow(run, f"document_id {kt}, start int, stop int, entity string, in_gold boolean, in_pred boolean, n_split bigint")
+
+
 def bio_split(spans: DataFrame, words: DataFrame) -> DataFrame:
     """One row per word or sign inside a span: B- for its first, I- for further ones. A span and a word meet in the block
     in which the word starts."""

@@ -196,22 +196,19 @@ tc AS (SELECT document_id, count(*) AS n_token, count_if(in_gold)::BIGINT AS phi
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
-    g = gold(spark, d)
-    n = notes(spark, d).join(g, "document_id", "left_semi")
-    return S.token_flags(T.pattern_spans(n, ["document_id"], {"T": T.TOKEN}), g, pred(spark, d))
+    return S.flagged_tokens(notes(spark, d), gold(spark, d), pred(spark, d))
 
 
 def _confusion(flags: DataFrame) -> DataFrame:
     return flags.groupBy("document_id").agg(
-        F.count("*").alias("n_token"), F.expr("count_if(in_gold)").alias("phi"), F.expr("count_if(in_gold AND in_pred)").alias("tp"), F.expr("count_if(in_pred AND NOT in_gold)").alias("fp"), F.expr("count_if(in_gold AND NOT in_pred)").alias("fn")
+        F.max("n_split").alias("n_token"), F.expr("count_if(in_gold)").alias("phi"), F.expr("count_if(in_gold AND in_pred)").alias("tp"), F.expr("count_if(in_pred AND NOT in_gold)").alias("fp"), F.expr("count_if(in_gold AND NOT in_pred)").alias("fn")
     )
 
 
 @query(_TOK + r" SELECT document_id, len(string_split_regex(text, '[ \t\r\n\f\v]'))::BIGINT AS n_token, phi, tp, fp, fn FROM tc JOIN notes USING (document_id)")
 def token_confusion_per_doc(spark: SparkSession, d: str) -> DataFrame:
     """n_token is the number of white space signs and one, so that empty tokens count; they are never in a span."""
-    n = notes(spark, d).select("document_id", F.size(F.split("text", f"[{T.SPACE}]")).cast("bigint").alias("n_token"))
-    return _confusion(_flags(spark, d)).drop("n_token").join(n, "document_id").select("document_id", "n_token", "phi", "tp", "fp", "fn")
+    return _confusion(_flags(spark, d))
 
 
 _RATES = "{tp}::DOUBLE / nullif({tp} + {fn}, 0) AS se, {tp}::DOUBLE / nullif({tp} + {fp}, 0) AS ppv, (2 * {tp})::DOUBLE / nullif(2 * {tp} + {fp} + {fn}, 0) AS f1"

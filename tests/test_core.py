@@ -362,3 +362,18 @@ def test_running_sums_and_noise_edges(spark):
     p = spark.createDataFrame([(i, 0, [0.9, 0.1]) for i in range(6)] + [(10 + i, 1, [0.2, 0.8]) for i in range(6)] + [(20, 0, [0.05, 0.95]), (21, 2, [0.5, 0.5])], "id int, y int, p array<double>")
     assert [(x.id, x.suggested) for x in P.noise_ranking(p, "id", "y", "p").collect()] == [(20, 1)]
     assert P.noise_ranking(p.limit(0), "id", "y", "p").count() == 0
+
+
+def test_flagged_tokens(spark):
+    """Tokens looked up in sorted lists against tokens joined in blocks, with spans that touch, nest, repeat and reach out."""
+    r = random.Random(12)
+    notes = [(k, " ".join("x" * r.randint(1, 9) for _ in range(r.randint(0, 120)))) for k in "abcd"] + [("e", None), ("f", "  y\n")]
+    spans = lambda n: [(r.choice("abcdg"), a := r.randint(-5, 700), a + r.randint(1, 40)) for _ in range(n)] + [("f", 2, 3)]
+    df = spark.createDataFrame(notes, "document_id string, text string")
+    g, p = (spark.createDataFrame(spans(n), "document_id string, start int, stop int") for n in (20, 30))
+    tokens = T.pattern_spans(df, ["document_id"], {"T": T.TOKEN})
+    cols = ["document_id", "start", "stop", "entity", "in_gold", "in_pred"]
+    one = S.flagged_tokens(df, g, p)
+    assert sorted(map(tuple, one.select(cols).collect())) == sorted(map(tuple, S.token_flags(tokens, g, p).select(cols).collect()))
+    assert one.where("document_id = 'f'").first().n_split == 4 and one.where("in_gold").count() > 5
+    assert S.flagged_tokens(df, g.limit(0), p).count() == 0 and S.flagged_tokens(df, g, p.limit(0)).where("in_pred").count() == 0
