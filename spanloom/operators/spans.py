@@ -16,10 +16,15 @@ from spanloom.operators.periods import clean_document_id, clean_entity_type, mer
 from spanloom.operators.text import SPACE, TOKEN
 
 
-def clean_spans(df: DataFrame, *more: str) -> DataFrame:
-    """Distinct document_id, start, stop, entity_type (cleaned) and `more`; rows without both ends or with stop <= start are left out."""
+def cleaned(df: DataFrame, *more: str) -> DataFrame:
+    """document_id, start, stop, entity_type (cleaned) and `more`; rows without both ends or with stop <= start are left out."""
     d = df.where("start IS NOT NULL AND stop > start")
-    return d.select(clean_document_id(F.col("document_id")).alias("document_id"), "start", "stop", clean_entity_type(F.col("entity_type")).alias("entity_type"), *more).distinct()
+    return d.select(clean_document_id(F.col("document_id")).alias("document_id"), "start", "stop", clean_entity_type(F.col("entity_type")).alias("entity_type"), *more)
+
+
+def clean_spans(df: DataFrame, *more: str) -> DataFrame:
+    """The distinct rows of `cleaned`."""
+    return cleaned(df, *more).distinct()
 
 
 def merge_typed(df: DataFrame, keys: list[str], dist: int = 0, shard: int = 4096) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import labels as L
 from spanloom.operators import align as A
+from spanloom.operators import spans as S
 from spanloom.operators import text as T
 from spanloom.plans.reference import BASE, WORD_TOKENS_SQL, gold, notes, pred, query
+from spanloom.session import table
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
@@ -154,9 +156,16 @@ def _by_model(spark: SparkSession, d: str) -> DataFrame:
     return truth.join(p, [*keys, "start", "stop"], "full").select(*keys, "start", "stop", "truth", "pred")
 
 
+def _model_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """(model_name, document_id, token_start, start, stop, truth, pred, token). The model names are a handful."""
+    p = S.cleaned(table(spark, d, "predictions"), "model_name")
+    models = p.agg(F.collect_set(F.struct("model_name")).alias("ms")).select(F.transform("ms", lambda x: x["model_name"]).alias("ms"))  # one row
+    return A.labelled_tokens(notes(spark, d), S.cleaned(table(spark, d, "gold_annotations")), p, models)
+
+
 @query(_MODELS + " SELECT model_name, document_id, count(*) FILTER (truth = pred) AS tp, count(*) FILTER (pred IS NULL) AS fn, count(*) FILTER (truth IS NULL) AS fp, count(*) FILTER (truth <> pred) AS mismatch FROM ma GROUP BY 1, 2")
 def comparison_by_model(spark: SparkSession, d: str) -> DataFrame:
-    return _by_model(spark, d).groupBy("model_name", "document_id").agg(*[F.expr(f"count_if({c})").alias(k) for k, c in (("tp", "truth = pred"), ("fn", "pred IS NULL"), ("fp", "truth IS NULL"), ("mismatch", "truth <> pred"))])
+    return _model_tokens(spark, d).groupBy("model_name", "document_id").agg(*[F.expr(f"count_if({c})").alias(k) for k, c in (("tp", "truth = pred"), ("fn", "pred IS NULL"), ("fp", "truth IS NULL"), ("mismatch", "truth <> pred"))])
 
 
 @query(_MODELS + " SELECT model_name, m.document_id AS record, truth, pred, substring(text, start + 1, stop - start) AS token, start, stop - start AS length FROM ma m JOIN notes USING (document_id)")

@@ -1,4 +1,5 @@
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -377,3 +378,47 @@ def test_flagged_tokens(spark):
     assert sorted(map(tuple, one.select(cols).collect())) == sorted(map(tuple, S.token_flags(tokens, g, p).select(cols).collect()))
     assert one.where("document_id = 'f'").first().n_split == 4 and one.where("in_gold").count() > 5
     assert S.flagged_tokens(df, g.limit(0), p).count() == 0 and S.flagged_tokens(df, g, p.limit(0)).where("in_pred").count() == 0
+
+
+def _exchanges(df):
+    return sum(re.match(r"[\s:+*|-]*(\(\d+\) )?(Exchange|BroadcastExchange)\b", x) is not None for x in df._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+@pytest.fixture(scope="module")
+def odd_spans(spark, tmp_path_factory):
+    """Notes and spans with nulls, empty labels and models, ends outside the text, nested and repeated spans."""
+    r, d = random.Random(7), str(tmp_path_factory.mktemp("odd"))
+    words = ["Dr.", "Smith", "ab-cd", "x", "😀y", "Zoë", "03/14/10", "a_b", "...", "\n", "  ", "I"]
+    notes = [(None, "no id"), ("n4", None), ("n5", ""), ("n6", " \n ")] + [(f"n{i}", " ".join(r.choice(words) for _ in range(r.randint(1, 25)))) for i in [*range(24), 0, 7]]
+    label = lambda: r.choice(["NAME", "DATE", "B-NAME", "i-id", " ", "ZZ", None, "b-"])
+    span = lambda k: (k, a := r.randint(-3, 60), a + r.choice([0, -1, 1, 2, 3, 5, 8, 40]), label())
+    gold = [span(r.choice([f"n{i}", f" txt/n{i}.txt "])) for i in range(24) if i % 5 != 1 for _ in range(9)] + [(None, 0, 4, "NAME"), ("n8", None, 4, "DATE"), ("n8", 2, None, "DATE")]
+    pred = [(*span(r.choice([f"n{i}", f"a\\n{i}.pred"])), r.choice(["m1", "m2", None, "m3"])) for i in range(24) for _ in range(14)] + [("zz", 0, 9, "Q", "m4"), ("n2", None, 3, "Q", "m5")]
+    s = "document_id string, start int, stop int, entity_type string"
+    for name, rows, schema in (("input_examples", notes, "guid string, text string"), ("gold_annotations", gold + gold[:20], s), ("predictions", pred + pred[:40], s + ", model_name string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+#: Queries on token labels and the exchanges that their plans may have.
+TOKEN_QUERIES = {
+    "comparison_by_model": 12,
+}
+
+
+@pytest.mark.parametrize("name", TOKEN_QUERIES)
+def test_token_labels_by_note(spark, odd_spans, name):
+    """The rows of the SQL, from a plan that shuffles notes and spans but no characters."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    df = entry.queries()[name](spark, odd_spans)
+    assert _exchanges(df) <= TOKEN_QUERIES[name]
+    con = duckdb.connect()
+    for t in ("input_examples", "gold_annotations", "predictions"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{odd_spans}/{t}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    assert df.columns == [c[0] for c in want.description]
+    rounded = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+    got = rounded(df.collect())
+    assert got == rounded(want.fetchall()) and got
