@@ -67,6 +67,11 @@ def _aligned(spark: SparkSession, d: str) -> DataFrame:
     return A.aligned_tokens(_words(spark, d), A.char_labels(g), A.char_labels(_with_gold(pred(spark, d), g)), F.col("label"))
 
 
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    """(document_id, token_start, start, stop, truth, pred, token)"""
+    return A.labelled_tokens(notes(spark, d), S.cleaned(table(spark, d, "gold_annotations")), S.cleaned(table(spark, d, "predictions")))
+
+
 @query(_ALIGNED + " SELECT * FROM al")
 def token_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Tokens, cut where the true label rises, with true and predicted label; those without either are left out."""
@@ -94,7 +99,7 @@ def _counts() -> list:
 
 @query(_ALIGNED + _BY_LABEL + " SELECT * FROM bl")
 def label_token_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _by_label(_aligned(spark, d)).groupBy("document_id", "label").agg(*_counts())
+    return _by_label(_tokens(spark, d)).groupBy("document_id", "label").agg(*_counts())
 
 
 @query(

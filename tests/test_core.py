@@ -403,6 +403,7 @@ def odd_spans(spark, tmp_path_factory):
 #: Queries on token labels and the exchanges that their plans may have.
 TOKEN_QUERIES = {
     "comparison_by_model": 12,
+    "label_token_counts": 12,
 }
 
 
