@@ -123,7 +123,7 @@ def missed_tokens_per_document(spark: SparkSession, d: str) -> DataFrame:
     """Missed tokens and rates (whatever the label; 1 where nothing counts; to 4 digits) per document and over all."""
     both = F.expr("count_if(truth IS NOT NULL AND pred IS NOT NULL)")
     rate = lambda n: F.round(F.coalesce(F.try_divide(both, F.count(n)), F.lit(1.0)), 4)
-    r = _aligned(spark, d).rollup("document_id").agg(F.grouping("document_id").cast("int").alias("is_total"), F.count("truth").alias("n_phi"), F.expr("count_if(truth IS NOT NULL AND pred IS NULL)").alias("fn"), rate("truth").alias("se"), rate("pred").alias("ppv"))
+    r = _tokens(spark, d).rollup("document_id").agg(F.grouping("document_id").cast("int").alias("is_total"), F.count("truth").alias("n_phi"), F.expr("count_if(truth IS NOT NULL AND pred IS NULL)").alias("fn"), rate("truth").alias("se"), rate("pred").alias("ppv"))
     return r.withColumn("document_id", F.when(F.col("is_total") == 1, "All").otherwise(F.col("document_id")))
 
 

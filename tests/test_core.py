@@ -404,6 +404,7 @@ def odd_spans(spark, tmp_path_factory):
 TOKEN_QUERIES = {
     "comparison_by_model": 12,
     "label_token_counts": 12,
+    "missed_tokens_per_document": 12,
 }
 
 
