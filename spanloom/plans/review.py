@@ -11,7 +11,7 @@ from spanloom.operators import chain as C
 from spanloom.operators import predictions as P
 from spanloom.operators import spans as S
 from spanloom.operators import text as T
-from spanloom.plans.alignment import _aligned, _ALIGNED, _with_gold, _words
+from spanloom.plans.alignment import _aligned, _ALIGNED, _tokens, _with_gold, _words
 from spanloom.plans.reference import BASE, _matches_sql, gold, notes, pred, query
 from spanloom.sources import sinks as K
 from spanloom.session import table
@@ -88,7 +88,7 @@ def sequence_metrics(spark: SparkSession, d: str) -> DataFrame:
 def token_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy over all words and signs; those without a label on either side are right."""
     n = _words(spark, d).agg(F.count("*").alias("n_tokens"))
-    w = _aligned(spark, d).where("NOT (truth <=> pred)").agg(F.count("*").alias("n_wrong"))
+    w = _tokens(spark, d).where("NOT (truth <=> pred)").agg(F.count("*").alias("n_wrong"))
     return n.crossJoin(w).select("n_tokens", "n_wrong", (1 - F.col("n_wrong") / F.col("n_tokens")).alias("accuracy"))  # one row each
 
 

@@ -405,6 +405,7 @@ TOKEN_QUERIES = {
     "comparison_by_model": 12,
     "label_token_counts": 12,
     "missed_tokens_per_document": 12,
+    "token_accuracy": 16,
 }
 
 
