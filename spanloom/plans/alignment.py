@@ -200,10 +200,7 @@ SELECT document_id, count(*) FILTER (phi AND hit) AS tp_any, count(*) FILTER (ph
 )
 def token_classes_any_and_exact(spark: SparkSession, d: str) -> DataFrame:
     """Whole tokens: hit by any prediction, or exactly: one true label, and that predicted for all its parts."""
-    w = _words(spark, d).select("document_id", F.col("start").alias("ts"), F.col("stop").alias("te"), F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor((F.col("stop") - 1) / 64))).alias("b"))
-    a = _aligned(spark, d).withColumn("b", F.floor(F.col("start") / 64))
-    t = w.join(a, ["document_id", "b"]).where("start >= ts AND stop <= te").groupBy("document_id", "ts", "te")
-    t = t.agg(F.count_distinct("truth").alias("labels"), F.bool_and(F.expr("truth <=> pred")).alias("same"), F.bool_or(F.expr("truth IS NOT NULL")).alias("phi"), F.bool_or(F.expr("pred IS NOT NULL")).alias("hit"))
+    t = _tokens(spark, d).groupBy("document_id", "token_start").agg(F.count_distinct("truth").alias("labels"), F.bool_and(F.expr("truth <=> pred")).alias("same"), F.bool_or(F.expr("truth IS NOT NULL")).alias("phi"), F.bool_or(F.expr("pred IS NOT NULL")).alias("hit"))
     return t.groupBy("document_id").agg(*[F.expr(f"count_if({c})").alias(k) for k, c in (("tp_any", "phi AND hit"), ("tp_exact", "phi AND same AND labels = 1"), ("fp", "hit AND NOT phi"), ("fn", "phi AND NOT hit"))])
 
 

@@ -406,6 +406,7 @@ TOKEN_QUERIES = {
     "label_token_counts": 12,
     "missed_tokens_per_document": 12,
     "token_accuracy": 16,
+    "token_classes_any_and_exact": 12,
 }
 
 
