@@ -80,7 +80,8 @@ def token_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_ALIGNED.split(", pp AS")[0] + " SELECT p.document_id, p.ts::INT AS token_start, p.start::INT AS start, p.stop::INT AS stop FROM parts p WHERE (p.document_id, p.ts) IN (SELECT (document_id, ts) FROM z WHERE g <> '')")
 def token_parts_on_rise(spark: SparkSession, d: str) -> DataFrame:
-    return A.token_parts(_words(spark, d), A.char_labels(gold(spark, d)), F.col("label"))
+    t = A.labelled_tokens(notes(spark, d), S.cleaned(table(spark, d, "gold_annotations")), all_parts=True)
+    return t.select("document_id", "token_start", "start", "stop")
 
 
 _BY_LABEL = """, bl AS (SELECT document_id, label, count(*) FILTER (truth = label) AS phi, count(*) FILTER (truth = label AND pred = label) AS tp, count(*) FILTER (pred = label AND truth IS DISTINCT FROM label) AS fp, count(*) FILTER (truth = label AND pred IS DISTINCT FROM label) AS fn

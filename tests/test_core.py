@@ -407,6 +407,7 @@ TOKEN_QUERIES = {
     "missed_tokens_per_document": 12,
     "token_accuracy": 16,
     "token_classes_any_and_exact": 12,
+    "token_parts_on_rise": 5,
 }
 
 
