@@ -111,7 +111,7 @@ def label_token_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def label_token_rates(spark: SparkSession, d: str) -> DataFrame:
     """Micro rates per label and over all labels; the total is told by is_total, not by a label."""
-    r = _by_label(_aligned(spark, d)).rollup("label").agg(F.grouping("label").cast("int").alias("is_total"), *_counts())
+    r = _by_label(_tokens(spark, d)).rollup("label").agg(F.grouping("label").cast("int").alias("is_total"), *_counts())
     return r.select(F.when(F.col("is_total") == 1, "All").otherwise(F.col("label")).alias("label"), "is_total", "phi", "tp", "fp", "fn", *L.rates("tp", "fp", "fn"))
 
 

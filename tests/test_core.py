@@ -408,6 +408,7 @@ TOKEN_QUERIES = {
     "token_accuracy": 16,
     "token_classes_any_and_exact": 12,
     "token_parts_on_rise": 5,
+    "label_token_rates": 12,
 }
 
 
