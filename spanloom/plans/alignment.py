@@ -130,7 +130,7 @@ def missed_tokens_per_document(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_ALIGNED + " SELECT document_id, label, count(*) AS fn FROM (SELECT document_id, truth AS label FROM al WHERE truth IS NOT NULL AND pred IS NULL) GROUP BY 1, 2")
 def missed_tokens_by_label(spark: SparkSession, d: str) -> DataFrame:
-    return _aligned(spark, d).where("truth IS NOT NULL AND pred IS NULL").groupBy("document_id", F.col("truth").alias("label")).agg(F.count("*").alias("fn"))
+    return _tokens(spark, d).where("truth IS NOT NULL AND pred IS NULL").groupBy("document_id", F.col("truth").alias("label")).agg(F.count("*").alias("fn"))
 
 
 _MODELS = (

@@ -409,6 +409,7 @@ TOKEN_QUERIES = {
     "token_classes_any_and_exact": 12,
     "token_parts_on_rise": 5,
     "label_token_rates": 12,
+    "missed_tokens_by_label": 12,
 }
 
 
