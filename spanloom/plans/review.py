@@ -11,7 +11,7 @@ from spanloom.operators import chain as C
 from spanloom.operators import predictions as P
 from spanloom.operators import spans as S
 from spanloom.operators import text as T
-from spanloom.plans.alignment import _aligned, _ALIGNED, _tokens, _with_gold, _words
+from spanloom.plans.alignment import _ALIGNED, _tokens, _with_gold, _words
 from spanloom.plans.reference import BASE, _matches_sql, gold, notes, pred, query
 from spanloom.sources import sinks as K
 from spanloom.session import table
@@ -293,7 +293,7 @@ SELECT document_id, label, n FROM g QUALIFY row_number() OVER (PARTITION BY docu
 )
 def modal_label_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """A note's most frequent token label; of equally frequent ones the one that comes first in the note."""
-    g = _aligned(spark, d).where("truth IS NOT NULL").groupBy("document_id", F.col("truth").alias("label")).agg(F.count("*").alias("n"), F.min("start").alias("f"))
+    g = _tokens(spark, d).where("truth IS NOT NULL").groupBy("document_id", F.col("truth").alias("label")).agg(F.count("*").alias("n"), F.min("start").alias("f"))
     return g.groupBy("document_id").agg(F.min_by(F.struct("label", "n"), F.struct(-F.col("n"), "f")).alias("x")).select("document_id", "x.label", "x.n")
 
 

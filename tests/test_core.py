@@ -410,6 +410,7 @@ TOKEN_QUERIES = {
     "token_parts_on_rise": 5,
     "label_token_rates": 12,
     "missed_tokens_by_label": 12,
+    "modal_label_first_seen": 12,
 }
 
 
