@@ -188,9 +188,8 @@ _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 @query(_ALIGNED + f" SELECT document_id, start, stop, truth, token FROM (SELECT al.*, substring(text, start + 1, stop - start) AS token FROM al JOIN notes USING (document_id)) WHERE truth IS NOT NULL AND strpos('{_PUNCT}', token) = 0")
 def phi_tokens_without_signs(spark: SparkSession, d: str) -> DataFrame:
     """True sub-tokens with their text, but for signs and runs of signs as they stand in the list of signs."""
-    j = _aligned(spark, d).where("truth IS NOT NULL").join(notes(spark, d), "document_id")
-    token = F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start"))
-    return j.select("document_id", "start", "stop", "truth", token.alias("token")).where(F.expr("position(token, '%s') = 0" % _PUNCT.replace("\\", "\\\\").replace("''", "\\'")))
+    j = _tokens(spark, d).where("truth IS NOT NULL")
+    return j.select("document_id", "start", "stop", "truth", "token").where(F.expr("position(token, '%s') = 0" % _PUNCT.replace("\\", "\\\\").replace("''", "\\'")))
 
 
 @query(

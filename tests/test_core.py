@@ -411,6 +411,7 @@ TOKEN_QUERIES = {
     "label_token_rates": 12,
     "missed_tokens_by_label": 12,
     "modal_label_first_seen": 12,
+    "phi_tokens_without_signs": 12,
 }
 
 
