@@ -146,22 +146,6 @@ ms AS (SELECT DISTINCT model_name FROM pm), ma AS (SELECT ms.model_name, documen
 )
 
 
-def _by_model(spark: SparkSession, d: str) -> DataFrame:
-    """(model_name, document_id, start, stop, truth, pred). The model names are a handful."""
-    g = gold(spark, d)
-    m = _with_gold(pred(spark, d, "model_name"), g)
-    tokens, true = _words(spark, d), A.char_labels(g)
-    models = F.broadcast(pred(spark, d, "model_name").agg(F.collect_set("model_name").alias("ms")))  # one row
-    own = A.token_parts(tokens, true, F.col("label"))
-    rest = tokens.select("document_id", "start", "stop").join(own.select("document_id", F.col("token_start").alias("start")).distinct(), ["document_id", "start"], "left_anti")
-    parts = own.select("document_id", "start", "stop").unionByName(rest)
-    each = lambda x: x.crossJoin(models).select(*x.columns, F.explode("ms").alias("model_name"))
-    truth = each(A.modal_labels(parts, true, ignore_none=False).withColumnRenamed("label", "truth"))
-    keys = ("model_name", "document_id")
-    p = A.modal_labels(each(parts), A.char_labels(m, keys=keys), keys).withColumnRenamed("label", "pred")
-    return truth.join(p, [*keys, "start", "stop"], "full").select(*keys, "start", "stop", "truth", "pred")
-
-
 def _model_tokens(spark: SparkSession, d: str) -> DataFrame:
     """(model_name, document_id, token_start, start, stop, truth, pred, token). The model names are a handful."""
     p = S.cleaned(table(spark, d, "predictions"), "model_name")
@@ -177,9 +161,8 @@ def comparison_by_model(spark: SparkSession, d: str) -> DataFrame:
 @query(_MODELS + " SELECT model_name, m.document_id AS record, truth, pred, substring(text, start + 1, stop - start) AS token, start, stop - start AS length FROM ma m JOIN notes USING (document_id)")
 def token_comparison(spark: SparkSession, d: str) -> DataFrame:
     """The rows of the token comparison sink, which writes them by model, record and start."""
-    j = _by_model(spark, d).join(notes(spark, d), "document_id")
-    n = F.col("stop") - F.col("start")
-    return j.select("model_name", F.col("document_id").alias("record"), "truth", "pred", F.substring("text", F.col("start") + 1, n).alias("token"), "start", n.alias("length"))
+    length = (F.col("stop") - F.col("start")).alias("length")
+    return _model_tokens(spark, d).select("model_name", F.col("document_id").alias("record"), "truth", "pred", "token", "start", length)
 
 
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -412,6 +412,7 @@ TOKEN_QUERIES = {
     "missed_tokens_by_label": 12,
     "modal_label_first_seen": 12,
     "phi_tokens_without_signs": 12,
+    "token_comparison": 12,
 }
 
 
