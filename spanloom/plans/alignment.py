@@ -62,11 +62,6 @@ al AS (SELECT document_id, start::INT AS start, stop::INT AS stop, truth, label
 )
 
 
-def _aligned(spark: SparkSession, d: str) -> DataFrame:
-    g = gold(spark, d)
-    return A.aligned_tokens(_words(spark, d), A.char_labels(g), A.char_labels(_with_gold(pred(spark, d), g)), F.col("label"))
-
-
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     """(document_id, token_start, start, stop, truth, pred, token)"""
     return A.labelled_tokens(notes(spark, d), S.cleaned(table(spark, d, "gold_annotations")), S.cleaned(table(spark, d, "predictions")))
@@ -75,7 +70,7 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 @query(_ALIGNED + " SELECT * FROM al")
 def token_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Tokens, cut where the true label rises, with true and predicted label; those without either are left out."""
-    return _aligned(spark, d)
+    return _tokens(spark, d).select("document_id", "start", "stop", "truth", "pred")
 
 
 @query(_ALIGNED.split(", pp AS")[0] + " SELECT p.document_id, p.ts::INT AS token_start, p.start::INT AS start, p.stop::INT AS stop FROM parts p WHERE (p.document_id, p.ts) IN (SELECT (document_id, ts) FROM z WHERE g <> '')")

@@ -413,6 +413,7 @@ TOKEN_QUERIES = {
     "modal_label_first_seen": 12,
     "phi_tokens_without_signs": 12,
     "token_comparison": 12,
+    "token_alignment": 12,
 }
 
 
