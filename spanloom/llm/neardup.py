@@ -5,11 +5,15 @@ meet in a bucket. No bucket is expanded into all its pairs: first every member i
 member, then only members of one bucket that are still in different components are verified against each other. In a
 bucket of over `HOT` members only those pairs are tried that a prefix filter on rare runs leaves. That finds the same
 components as all pairs would.
+
+A pair is tried on sketches of its sets first, 128 bytes each, which can only rule out what is below the similarity; the
+words of a set are sent on for pairs that are left. The more notes, the more of them meet by chance, so what is sent
+for pairs and runs is sent in rounds, as many as keep a round in proportion to the number of sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import connected_components
-from spanloom.llm.hashing import flat, run_hashes
-from spanloom.llm.triples import classes, runs_of, shared_runs, with_words
+from spanloom.llm.hashing import flat, lists, run_hashes
+from spanloom.llm.triples import bits_of, classes, in_bits, runs_of, shared_runs, with_words
 from spanloom.session import dropped, written
 
 BANDS, ROWS, SEED = 27, 3, 20240229
 #: A bucket with more members is not joined with itself; a run is rare if at most RARE notes of such buckets have it.
 HOT, RARE = 64, 32
+#: Longs of a sketch: a bit for each run of a set, by its hash.
+SKETCH = 16
 
 
 def recall_at(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -59,44 +65,99 @@ def _bands(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), again(0), again(1)], ["h", "id", "n"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 400):
+            part = b.slice(lo, 400)
+            w, sizes = flat(part.column(2))
+            r, of = run_hashes(w.view(np.uint64), sizes, n)
+            with np.errstate(over="ignore"):
+                bit = ((r * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(64 * SKETCH)
+            bits = np.zeros((part.num_rows, 64 * SKETCH), bool)
+            bits[np.repeat(np.arange(part.num_rows), of), bit.astype(np.int64)] = True
+            s = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(s.ravel(), np.full(len(s), SKETCH))], ["id", "n", "s"])
+
+
+def _in_rounds(amount: int, room: int, part: Callable[[Callable[[str], Column]], DataFrame], tag: str) -> DataFrame:
+    """The union of `part` for each round, written; as many rounds as `room` goes into `amount`. `part` gets a function
+    that gives the condition by which a column's values fall into the round."""
+    rounds = max(1, -(-amount // max(room, 1)))
+    out = None
+    for k in range(rounds):
+        x = written(part(lambda c: F.pmod(F.xxhash64(c), F.lit(rounds)) == k if rounds > 1 else F.lit(True)), tag)  # noqa: B023
+        out = x if out is None else out.union(x)
+    return out
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, n: int) -> DataFrame:
-    """Of (a, b) those whose full run sets have at least this Jaccard similarity."""
+    """Of (a, b) those whose full run sets have at least this Jaccard similarity. `pairs` is read for each round."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for lo in range(0, x.num_rows, 2000):
-                p = x.slice(lo, 2000)
+            for lo in range(0, x.num_rows, 500):
+                p = x.slice(lo, 500)
                 both, na, nb = shared_runs(p.column(2), p.column(3), n)
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1)], ["a", "b"]).filter(pa.array(both / np.maximum(na + nb - both, 1) >= similarity))
 
-    one = lambda x: sets.select(F.col("_id").alias(x), F.col("_w").alias(f"w{x}"))
-    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "wa", "wb").mapInArrow(check, "a bigint, b bigint")
+    def part(mine: Callable[[str], Column]) -> DataFrame:
+        own = pairs.where(mine("a"))
+        kept = in_bits(sets, "_id", bits_of(own.select(F.explode(F.array("a", "b")).alias("_id")), "_id"))
+        one = lambda x: kept.select(F.col("_id").alias(x), F.col("_w").alias(f"w{x}"))
+        return own.join(one("a"), "a").join(one("b"), "b").select("a", "b", "wa", "wb").mapInArrow(check, "a bigint, b bigint")
+
+    return _in_rounds(pairs.count(), sets.count() // 2, part, "links")
 
 
 def _fit(n: Column, m: Column, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m)
 
 
+def _may(n: Column, s: Column, m: Column, t: Column, similarity: float) -> Column:
+    """Whether sets of n and m runs with these sketches can have this similarity: each bit that only one has is a run
+    that the other lacks."""
+    only = lambda x, y: sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(SKETCH)), F.lit(0))
+    both = F.least(n - only(s, t), m - only(t, s))
+    return _fit(n, m, similarity) & (both * (1 + similarity) >= similarity * (n + m) - 1e-9)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    one = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    may = _may(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), similarity)
+    return pairs.join(one("a"), "a").join(one("b"), "b").where(may).select("a", "b")
+
+
 def _hot_pairs(hot: DataFrame, sets: DataFrame, similarity: float, words: int, rare: int = RARE) -> DataFrame:
     """(a, b) across components such that, with the links among them, members of a bucket are connected as by all pairs.
 
     Runs are ordered by the number of notes of hot buckets that have them. Two sets of this similarity share a run among
     the first n - ceil(similarity * n) + 1 of each. If that run is rare, the pair is found by it. Else all they share
     are frequent runs, which must then make up the similarity. Of the members of a bucket with the same frequent runs
-    the smallest set is at least as similar to all others as any of them is, so all are tried against it only.
+    the smallest set is at least as similar to all others as any of them is, so all are tried against it only. Runs of
+    one note only come first in that order and are not sent on: how many there are says what the others leave of it.
     """
-    ids = hot.select("id", "n", "root").distinct()
-    runs = ids.join(runs_of(sets.join(ids.select(F.col("id").alias("_id")), "_id", "left_semi"), words).withColumnRenamed("_id", "id"), "id")
-    held = runs.groupBy("run").agg(F.count("*").alias("c"))
-    order = runs.join(held, "run").groupBy("id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "run"))).alias("o"))
-    often = F.transform(F.filter("o", lambda x: x.c > rare), lambda x: x.run)
-    first = F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    order = order.select("id", "n", "root", F.size(often).alias("t"), F.xxhash64(often).alias("kind"), first.alias("first"))
-    order = written(order.select("id", "n", "root", "t", "kind", F.transform(F.filter("first", lambda x: (x.c > 1) & (x.c <= rare)), lambda x: x.run).alias("rare"), F.exists("first", lambda x: x.c > rare).alias("heavy")), "orders")
-    one = order.select("id", "n", "root", F.explode("rare").alias("run"))
-    l, r = one.alias("l"), one.alias("r")
-    found = l.join(r, (F.col("l.run") == F.col("r.run")) & (F.col("l.root") < F.col("r.root")) & _fit(F.col("l.n"), F.col("r.n"), similarity))
-    found = found.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+    ids = written(hot.select("id", "n", "root").distinct(), "hot")
+    own = in_bits(sets, "_id", written(bits_of(ids, "id"), "hot"))
+    room, total = sets.count(), ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = _in_rounds(total, 16 * room, lambda mine: runs_of(own, words).where(mine("run")).groupBy("run").agg(F.count("*").cast("int").alias("c")).where("c > 1"), "runs")
+
+    def ordered(mine: Callable[[str], Column]) -> DataFrame:
+        runs = runs_of(own.where(mine("_id")), words).join(held, "run").groupBy(F.col("_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("c", "run"))).alias("o"))
+        x = ids.where(mine("id")).join(runs, "id", "left").withColumn("o", F.coalesce("o", F.array().cast("array<struct<c: int, run: bigint>>")))
+        often = F.transform(F.filter("o", lambda y: y.c > rare), lambda y: y.run)
+        left = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("o"))
+        x = x.select("id", "n", "root", F.size(often).alias("t"), F.xxhash64(often).alias("kind"), F.slice("o", F.lit(1), F.greatest(left, F.lit(0)).cast("int")).alias("first"))
+        return x.select("id", "n", "root", "t", "kind", F.transform(F.filter("first", lambda y: y.c <= rare), lambda y: y.run).alias("rare"), F.exists("first", lambda y: y.c > rare).alias("heavy"))
+
+    order = _in_rounds(total, 16 * room, ordered, "orders")
+
+    def met(mine: Callable[[str], Column]) -> DataFrame:
+        one = order.select("id", "n", "root", F.explode("rare").alias("run")).where(mine("run"))
+        l, r = one.alias("l"), one.alias("r")
+        found = l.join(r, (F.col("l.run") == F.col("r.run")) & (F.col("l.root") < F.col("r.root")) & _fit(F.col("l.n"), F.col("r.n"), similarity))
+        return found.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+
+    found = _in_rounds(order.agg(F.coalesce(F.sum(F.size("rare")), F.lit(0))).first()[0], 8 * room, met, "met")
     heavy = hot.select("h", "id").join(order.where("heavy").select("id", "n", "root", "t", "kind"), "id")
     least = heavy.groupBy("h", "kind").agg(F.min(F.struct("n", "id", "root", "t")).alias("y")).select("h", "y")
     enough = F.least("t", "y.t") >= similarity / (1 + similarity) * (F.col("n") + F.col("y.n")) - 1e-9
@@ -121,21 +182,31 @@ def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text",
     shared = h.groupBy("h").agg(F.min("id").alias("rep"), F.max("id").alias("_hi")).where("rep < _hi").select("h", "rep")
     met = written(h.join(shared, "h"), "buckets")
     dropped(h)
-    size = sets.select(F.col("_id").alias("rep"), F.col("_n").alias("m"))
-    star = met.where("id > rep").select("rep", "id", "n").distinct().join(size, "rep").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
-    links = written(_verified(star.select(F.col("rep").alias("a"), F.col("id").alias("b")), sets, similarity, n), "links")
+    room = sets.count()
+    sketches = written(sets.select("_id", "_n", "_w").mapInArrow(lambda it: _sketches(it, n), "id bigint, n int, s array<bigint>"), "sketches")
+    stars = written(met.where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    star = _in_rounds(stars.count(), 2 * room, lambda mine: _likely(stars.where(mine("a")), sketches, similarity), "star")
+    dropped(stars)
+    links = _verified(star, sets, similarity, n)
     part = written(connected_components(links), "parts")
     # members of a bucket that the stars left in different components
     placed = met.join(part, met.id == part.node, "left").select("h", "id", "n", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("h", "c")
     placed = written(placed.join(mixed, "h"), "mixed")
-    l, r = placed.where(F.col("c") <= hot).alias("l"), placed.where(F.col("c") <= hot).alias("r")
-    rest = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") < F.col("r.root")) & _fit(F.col("l.n"), F.col("r.n"), similarity))
-    rest = rest.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
-    far = placed.where(F.col("c") > hot)
-    rest = (rest if far.isEmpty() else rest.union(_hot_pairs(far, sets, similarity, n))).distinct()
-    rest = rest.join(star.select(F.col("rep").alias("a"), F.col("id").alias("b")), ["a", "b"], "left_anti")
-    more = written(_verified(rest, sets, similarity, n), "links")
+    few, far = placed.where(F.col("c") <= hot), placed.where(F.col("c") > hot)
+
+    def across(mine: Callable[[str], Column]) -> DataFrame:
+        x = few.where(mine("h")).join(sketches.select("id", "s"), "id").select("h", "id", "n", "root", "s")
+        l, r = x.alias("l"), x.alias("r")
+        j = l.join(r, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") < F.col("r.root")) & _may(F.col("l.n"), F.col("l.s"), F.col("r.n"), F.col("r.s"), similarity))
+        return j.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+
+    rest = _in_rounds(few.count(), 2 * room, across, "rest")
+    if not far.isEmpty():
+        more = written(_hot_pairs(far, sets, similarity, n).distinct(), "rest")
+        rest = rest.union(_in_rounds(more.count(), 2 * room, lambda mine: _likely(more.where(mine("a")), sketches, similarity), "rest"))
+    rest = written(rest.distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    more = _verified(rest, sets, similarity, n)
     # roots of the first pass are joined by the new links
     roots = more.join(part, more.a == part.node, "left").select(F.coalesce("root", "a").alias("a"), "b")
     roots = roots.join(part, roots.b == part.node, "left").select("a", F.coalesce("root", "b").alias("b"))
@@ -150,7 +221,12 @@ def near_duplicate_groups(df: DataFrame, key: str = "guid", text: str = "text",
 
 def group_pairs(groups: DataFrame, key: str = "guid") -> DataFrame:
     """The pairs of different keys in one group: (key_a, key_b), the smaller first."""
+    groups = groups.select(key, "group_id").distinct()
     many = groups.groupBy("group_id").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).where("_lo < _hi").select("group_id")
     g = groups.join(many, "group_id", "left_semi")
-    l, r = g.select("group_id", F.col(key).alias(f"{key}_a")), g.select("group_id", F.col(key).alias(f"{key}_b"))
-    return l.join(r, "group_id").where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b").distinct()
+    # a pair in several groups counts in the least of them, so the pairs themselves need not be shuffled
+    several = g.groupBy(key).agg(F.collect_list("group_id").alias("_g")).where(F.size("_g") > 1)
+    g = g.join(several, key, "left")
+    l, r = (g.select("group_id", F.col(key).alias(f"{key}_{x}"), F.col("_g").alias(f"_g{x}")) for x in "ab")
+    j = l.join(r, "group_id").where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    return j.where(F.expr("_ga IS NULL OR _gb IS NULL OR group_id = array_min(array_intersect(_ga, _gb))")).select(f"{key}_a", f"{key}_b")

@@ -51,6 +51,22 @@ def with_words(df: DataFrame, keep: list[str], text: str = "text", n: int = 3, l
     return df.select(*keep, F.col(text).alias("_text"), least.cast("int").alias("_least")).mapInArrow(run, f"{schema}, _fit boolean, _n int, _d1 bigint, _d2 bigint, _first boolean, _w array<bigint>")
 
 
+def bits_of(df: DataFrame, row: str) -> DataFrame:
+    """The row numbers (of monotonically_increasing_id) in a column as bitmaps of 4 KB: at most one for 32768 rows of the
+    table that was numbered, and one or two for each of its parts."""
+    b = df.select(F.bitmap_bucket_number(row).alias("_bucket"), F.bitmap_bit_position(row).alias("_bit"))
+    return b.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def in_bits(df: DataFrame, row: str, bits: DataFrame, held: bool = True) -> DataFrame:
+    """The rows of `df` whose number is in the bitmaps, or isn't. The rows stay in place."""
+    at = f"bitmap_bit_position(`{row}`)"
+    byte = f"CAST(conv(hex(substring(_bits, CAST({at} DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    hit = F.expr(f"coalesce(shiftright({byte}, CAST({at} % 8 AS INT)) & 1 = 1, false)")
+    j = df.withColumn("_bucket", F.bitmap_bucket_number(row)).join(F.broadcast(bits), "_bucket", "inner" if held else "left")
+    return j.where(hit if held else ~hit).select(*df.columns)
+
+
 def classes(words: DataFrame, *apart: str) -> tuple[DataFrame, DataFrame]:
     """Of `with_words`, the classes of fit texts of one run set (and values of `apart`): sets (_id, `apart`, _n, _w), one
     row each, and members (all columns but `_w`, and _id). Only digests are shuffled: the words stay in place, but where
@@ -59,8 +75,8 @@ def classes(words: DataFrame, *apart: str) -> tuple[DataFrame, DataFrame]:
     t = written(words.withColumn("_row", F.monotonically_increasing_id()), "words")
     by = [*apart, "_d1", "_d2"]
     ids = written(t.where("_first").groupBy(*by).agg(F.min("_row").alias("_id")), "classes")
-    again = written(t.where("_first").select(*by, "_row").join(ids, by).where("_row <> _id").select("_row"), "again")
-    sets = t.where("_first").join(again, "_row", "left_anti").select(F.col("_row").alias("_id"), *apart, "_n", "_w")
+    again = written(bits_of(t.where("_first").select(*by, "_row").join(ids, by).where("_row <> _id"), "_row"), "again")
+    sets = in_bits(t.where("_first"), "_row", again, False).select(F.col("_row").alias("_id"), *apart, "_n", "_w")
     return sets, t.where("_fit").drop("_w", "_first", "_row").join(ids, by)
 
 
@@ -69,9 +85,11 @@ def runs_of(sets: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, sizes = flat(b.column(1))
-            r, of = run_hashes(w.view(np.uint64), sizes, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), of)), pa.array(r.view(np.int64))], ["_id", "run"])
+            for lo in range(0, b.num_rows, 400):
+                p = b.slice(lo, 400)
+                w, sizes = flat(p.column(1))
+                r, of = run_hashes(w.view(np.uint64), sizes, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p.column(0).to_numpy(), of)), pa.array(r.view(np.int64))], ["_id", "run"])
 
     return sets.select("_id", "_w").mapInArrow(run, "_id bigint, run bigint")
 

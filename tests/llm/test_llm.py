@@ -383,3 +383,37 @@ def test_tokens_and_scores():
     assert t.sizes.tolist() == [len(w) for w in want] and [tuple(x) for x in t.at.tolist()] == [s for w in want for s in w]
     assert np.allclose(personal.scores(t, lexicon, chain), chain.scores(personal.features(t, lexicon)), atol=1e-3)
     assert t.gap[t.real].tolist()[:2] == [3, 0] and 2 in t.gap[t.real]
+
+
+def test_near_duplicates_sketches_rounds_and_bits(spark, monkeypatch):
+    """Notes that meet by chance are ruled out before their words are sent; rounds change no result."""
+    from spanloom.llm.triples import bits_of, in_bits
+
+    r = random.Random(5)
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    head = own(25)
+    texts = [head + own(75) for _ in range(150)]
+    texts += [[*x[:40], "other", *x[41:]] for x in texts[:10]]
+    verified, rounds, tried = neardup._verified, neardup._in_rounds, []
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, *a: tried.append(pairs.count()) or verified(pairs, *a))
+    monkeypatch.setattr(neardup, "_in_rounds", lambda amount, room, *a: rounds(amount, max(1, amount // 3), *a))
+    df = spark.createDataFrame([(f"{i:03}", " ".join(x)) for i, x in enumerate(texts)], "guid string, text string")
+    for hot in (64, 4):
+        tried.clear()
+        g = neardup.near_duplicate_groups(df, similarity=0.6, n=3, hot=hot)
+        assert {tuple(x) for x in neardup.group_pairs(g).collect()} == {(f"{i:03}", f"{150 + i}") for i in range(10)}
+        assert sum(tried) <= 20
+    rows = [0, 1, 7, 8, 32768, 32769, 65536, (1 << 33) + 5]
+    t = spark.createDataFrame([(x, "t") for x in [*rows, 2, 9, 32767, (1 << 33) + 6]], "x bigint, y string")
+    bits = bits_of(spark.createDataFrame([(x,) for x in rows * 2], "x bigint"), "x")
+    assert sorted(x.x for x in in_bits(t, "x", bits).collect()) == rows
+    assert sorted(x.x for x in in_bits(t, "x", bits, False).collect()) == [2, 9, 32767, (1 << 33) + 6]
+    assert in_bits(t, "x", bits.limit(0), False).count() == 12
+
+
+def test_pairs_of_several_groups_count_once(spark):
+    g = spark.createDataFrame([("a", "1"), ("b", "1"), ("a", "2"), ("b", "2"), ("c", "2"), ("a", "2"), ("d", "3")], "guid string, group_id string")
+    p = neardup.group_pairs(g)
+    assert sorted(map(tuple, p.collect())) == [("a", "b"), ("a", "c"), ("b", "c")]
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.lstrip().startswith("Aggregate")  # no shuffle of the pairs
